@@ -26,20 +26,25 @@ def dedup_first(rows: DataFrame, order: str = "ingest_seq") -> DataFrame:
 
 
 def batch_summary(
-    scored: DataFrame, keep: Sequence[str], order: str = "ingest_seq"
+    scored: DataFrame,
+    keep: Sequence[str],
+    order: str = "ingest_seq",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per fingerprint: the first occurrence, and the last one's score.
 
     A repeat inside a batch is not new, but it still leaves its score behind.
+    ``by`` names further key columns, such as the batch when there are several.
     """
     columns = [order, "score", *keep]
-    grouped = scored.select(KEY, *columns).groupBy(KEY)
+    grouped = scored.select(KEY, *by, *columns).groupBy(KEY, *by)
     summary = grouped.agg(
         _first(columns, F.col(order)).alias("_first"),
         F.max_by("score", order).alias("last_score"),
     )
     return summary.select(
         KEY,
+        *by,
         F.col("_first.score").alias("first_score"),
         "last_score",
         *[F.col(f"_first.{c}").alias(c) for c in (order, *keep)],

@@ -84,12 +84,12 @@ def required_filter(mapped: DataFrame) -> DataFrame:
     return mapped.where(has_required_fields())
 
 
-def map_jobs(jobs: DataFrame, source: str = DEFAULT_SOURCE) -> DataFrame:
+def map_jobs(jobs: DataFrame, source: str | Column = DEFAULT_SOURCE) -> DataFrame:
     """Rows of ``sources.payloads.job_rows`` to the posting columns and ``reject``."""
     mapped = read_members(jobs)
     absent = F.lit(None).cast("string")
     columns = {
-        "source": F.lit(source),
+        "source": source if isinstance(source, Column) else F.lit(source),
         "remote": remote_flag(F.col("title"), F.col("location"), F.col("description")),
         "seniority": absent,
         "contract_type": absent,

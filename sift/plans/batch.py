@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift.operators.dedup import batch_summary
@@ -47,16 +47,13 @@ def run_batch(
     Order of effects: the batch is remembered, then alerted, then marked, so an
     alert goes out at most once per completed run of a batch id.
     """
-    observed = Observation(f"sightings_{batch_id}")
-    summary = batch_summary(scorer(posts), ALERT_FIELDS)
-    store.write_sightings(
-        summary.observe(observed, F.count(F.lit(1)).alias("n")), batch_id, now
-    )
+    store.write_sightings(batch_summary(scorer(posts), ALERT_FIELDS), batch_id, now)
 
-    # Only rows that can be alerted need to be compared with the past.
+    # Only rows that can be alerted need to be compared with the past. The count
+    # reads one column of the log and proves the size of what may be broadcast.
     lowest = min(thresholds.digest, thresholds.instant)
     candidates = store.sightings_of(batch_id).where(F.col("first_score") >= lowest)
-    new = store.filter_new(candidates, batch_id, observed.get.get("n"))
+    new = store.filter_new(candidates, batch_id, candidates.count())
     routed = route(new.withColumnRenamed("first_score", "score"), thresholds)
     store.write_routed(routed, batch_id)
 

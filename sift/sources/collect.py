@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sift.operators import mapping
 from sift.params import DEFAULT_SOURCE, Board
@@ -53,14 +54,15 @@ def union_sources(batches: Sequence[DataFrame]) -> DataFrame:
 
 def load_sources(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """All sources in order; one whose plan cannot be built is logged and left out."""
-    empty = POSTING.add("reject", "string") if "reject" not in POSTING.names else POSTING
     batches = []
     for source_ord, source in enumerate(sources):
         try:
             batches.append(source.load(spark, source_ord))
         except PySparkException as error:
             log.error("Collector %s failed: %s", source.name, error)
-    return union_sources(batches) if batches else spark.createDataFrame([], empty)
+    if batches:
+        return union_sources(batches)
+    return spark.createDataFrame([], T.StructType([*POSTING, T.StructField("reject", T.StringType())]))
 
 
 def isolate_sources(mapped: DataFrame, on_bad: str = DROP_SOURCE) -> DataFrame:

@@ -14,6 +14,7 @@ reads until it is run again.
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,8 +133,8 @@ class SeenStore:
         done.write.mode("append").parquet(self._path("merges"))
 
     def _table(self, upto: int) -> str:
-        digest = self.root.encode().hex()[-48:]
-        return f"sift_seen_{digest}_{upto}"
+        place = hashlib.sha256(self.root.encode()).hexdigest()[:16]
+        return f"sift_seen_{place}_{upto}"
 
     def _base(self, before: int | None) -> tuple[DataFrame | None, int | None]:
         """The newest complete base table below ``before``, and its last batch."""
