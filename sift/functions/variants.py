@@ -1,8 +1,8 @@
 """Reading loosely typed payload members.
 
-A member may be absent, null or of any JSON type. ``text_or_blank`` follows the
-"value or empty, then trim" reading: falsy values of any type are blank, and a
-truthy value that is not a string makes the row bad, which ``not_text`` tells.
+A member may be absent, null or of any JSON type. Text members are read as "the
+value or nothing": falsy values of any type count as blank, and a truthy value
+that is not a string makes the row bad, which ``not_text`` tells.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sift.functions.text import blank_if_null, strip
-
 
 def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
@@ -22,10 +20,6 @@ def string_or_null(value: Column) -> Column:
     return F.when(kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def text_or_blank(value: Column) -> Column:
-    return strip(blank_if_null(string_or_null(value)))
-
-
 def not_text(value: Column) -> Column:
     """True for a truthy value that is not a string; never NULL."""
     name = kind(value)

@@ -41,12 +41,14 @@ def batch_summary(
     summary = grouped.agg(
         _first(columns, F.col(order)).alias("_first"),
         F.max_by("score", order).alias("last_score"),
+        F.count("*").alias("n_rows"),
     )
     return summary.select(
         KEY,
         *by,
         F.col("_first.score").alias("first_score"),
         "last_score",
+        "n_rows",
         *[F.col(f"_first.{c}").alias(c) for c in (order, *keep)],
     )
 

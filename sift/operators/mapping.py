@@ -1,8 +1,9 @@
 """Payload objects to postings.
 
-``map_jobs`` is one narrow projection: each job object is cast once to the five
-members it may use, and the row is either a posting, a row without a title or a
-url (dropped), or a reject with the reason that would fail its source.
+``map_jobs`` is a chain of narrow projections, each of which reads the columns
+of the one before, so that no member is extracted twice. A row ends up as a
+posting, as a row without a title or a url (dropped), or as a reject with the
+reason that would fail its source.
 """
 
 from __future__ import annotations
@@ -10,34 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sift.functions.text import contains_any, strip
+from sift.functions.text import blank_if_null, contains_any, strip
 from sift.functions.times import parse_utc
-from sift.functions.variants import kind, members, not_text, string_or_null, text_or_blank
+from sift.functions.variants import members, not_text, string_or_null
 from sift.params import DEFAULT_SOURCE, REMOTE_MARKERS
 from sift.schema import POSTING
 
-JOB_MEMBERS = ("title", "absolute_url", "location", "content", "updated_at")
 DESCRIPTION_PARTS = ("description", "requirements", "responsibilities")
 
 
-def poly_location(location: Column) -> Column:
+def poly_location(place: Column, location: Column) -> Column:
     """An object gives its name, a string gives itself, all else is blank."""
-    return F.when(
-        kind(location).startswith("OBJECT<"),
-        text_or_blank(members(location, "name").getField("name")),
-    ).otherwise(text_or_blank(location))
+    return strip(blank_if_null(F.coalesce(place, location)))
 
 
-def bad_location(location: Column) -> Column:
-    name = members(location, "name").getField("name")
-    return F.coalesce(name.isNotNull() & not_text(name), F.lit(False))
-
-
-def assemble_description(content: Column) -> Column:
-    """Non-blank string parts of an object, trimmed, a blank line between."""
-    parts = members(content, *DESCRIPTION_PARTS)
-    texts = [strip(string_or_null(parts.getField(p))) for p in DESCRIPTION_PARTS]
-    return F.concat_ws("\n\n", *[F.when(t != "", t) for t in texts])
+def assemble_description(parts: list[Column]) -> Column:
+    """Non-blank parts with a blank line between."""
+    return F.concat_ws("\n\n", *[F.when(part != "", part) for part in parts])
 
 
 def remote_flag(title: Column, location: Column, description: Column) -> Column:
@@ -47,33 +37,53 @@ def remote_flag(title: Column, location: Column, description: Column) -> Column:
 
 
 def read_members(jobs: DataFrame) -> DataFrame:
-    """Split the ``job`` variant into typed columns and a reject reason."""
-    opened = jobs.withColumn("_job", members(F.col("job"), *JOB_MEMBERS))
-    part = {name: F.col(f"_job.{name}") for name in JOB_MEMBERS}
+    """Split the members of ``sources.payloads.job_rows`` into typed columns."""
+    opened = jobs.withColumns(
+        {
+            "_title": string_or_null(F.col("part.title")),
+            "_url": string_or_null(F.col("part.absolute_url")),
+            "_location": string_or_null(F.col("part.location")),
+            "_place": members(F.col("part.location"), "name").getField("name"),
+            "_content": members(F.col("part.content"), *DESCRIPTION_PARTS),
+            "_updated": string_or_null(F.col("part.updated_at")),
+            "_bad_title": not_text(F.col("part.title")),
+            "_bad_url": not_text(F.col("part.absolute_url")),
+        }
+    )
     texts = opened.withColumns(
         {
-            "title": text_or_blank(part["title"]),
-            "url": text_or_blank(part["absolute_url"]),
-            "location": poly_location(part["location"]),
-            "description": assemble_description(part["content"]),
-            "published_at": parse_utc(string_or_null(part["updated_at"])),
+            "_name": string_or_null(F.col("_place")),
+            "_bad_name": F.coalesce(not_text(F.col("_place")), F.lit(False)),
+            **{f"_{p}": string_or_null(F.col(f"_content.{p}")) for p in DESCRIPTION_PARTS},
+        }
+    )
+    trimmed = texts.withColumns(
+        {
+            "title": strip(blank_if_null(F.col("_title"))),
+            "url": strip(blank_if_null(F.col("_url"))),
+            "location": poly_location(F.col("_name"), F.col("_location")),
+            "published_at": parse_utc(F.col("_updated")),
+            **{f"_{p}": strip(F.col(f"_{p}")) for p in DESCRIPTION_PARTS},
         }
     )
     # The order below is the order in which the checks can fail: a location is
     # looked at only when title and url are both there.
     member_reject = F.coalesce(
-        F.when(F.col("_job").isNull(), F.lit("job is not an object")),
-        F.when(not_text(part["title"]), F.lit("title is not text")),
-        F.when(not_text(part["absolute_url"]), F.lit("url is not text")),
-        F.when(
-            has_required_fields() & bad_location(part["location"]),
-            F.lit("location name is not text"),
-        ),
+        F.when(F.col("part").isNull(), "job is not an object"),
+        F.when(F.col("_bad_title"), "title is not text"),
+        F.when(F.col("_bad_url"), "url is not text"),
+        F.when(has_required_fields() & F.col("_bad_name"), "location name is not text"),
+    )
+    mapped = trimmed.withColumns(
+        {
+            "description": assemble_description([F.col(f"_{p}") for p in DESCRIPTION_PARTS]),
+            "reject": F.coalesce(
+                F.col("payload_reject"), F.when(F.col("pos").isNotNull(), member_reject)
+            ),
+        }
     )
-    return texts.withColumn(
-        "reject",
-        F.coalesce(F.col("payload_reject"), F.when(F.col("pos").isNotNull(), member_reject)),
-    ).drop("_job", "payload_reject")
+    inner = [c for c in mapped.columns if c.startswith("_")]
+    return mapped.drop("part", "payload_reject", *inner)
 
 
 def has_required_fields() -> Column:

@@ -63,10 +63,10 @@ def alerted(routed: DataFrame, thresholds: Thresholds, order: str = "ingest_seq"
 
 
 def format_alert() -> Column:
-    location = F.coalesce(F.nullif(F.col("location"), F.lit("")), F.lit(NO_LOCATION))
+    location = F.when(F.col("location") != "", F.col("location")).otherwise(NO_LOCATION)
     remote = F.when(F.col("remote"), REMOTE_YES).otherwise(REMOTE_NO)
-    reasons = F.array_join(F.col("reasons"), ", ")
-    shown = F.coalesce(F.nullif(reasons, F.lit("")), F.lit(NO_REASONS))
+    reasons = F.col("reasons")
+    shown = F.when(F.size(reasons) > 0, F.array_join(reasons, ", ")).otherwise(NO_REASONS)
     return F.format_string(
         ALERT_LAYOUT,
         F.col("score"),

@@ -1,8 +1,7 @@
 """One run: score, remember, keep what is new, route, alert, mark.
 
 The raw feed is read once. Its first action writes one narrow row per
-fingerprint to the sightings log, which is both the commit of the batch and the
-point where the lineage is cut; everything after it reads that log.
+fingerprint to a log, which cuts the lineage; everything after it reads logs.
 """
 
 from __future__ import annotations
@@ -13,17 +12,22 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sift.operators.dedup import batch_summary
+from sift.operators.dedup import KEY, batch_summary
+from sift.operators.mapping import has_required_fields
 from sift.operators.routing import alerted, route
 from sift.operators.scoring import score
 from sift.params import RuleSet, Thresholds
 from sift.plans.sink import write_alerts
 from sift.schema import ALERT_FIELDS
+from sift.sources.collect import DROP_SOURCE, QUARANTINE
 from sift.state.seen import SeenStore
 
 Scorer = Callable[[DataFrame], DataFrame]
 Sink = Callable[[DataFrame, int], None]
 
+# Stands before the source name in the key of a reject; no fingerprint holds it.
+_REJECT = "!"
+
 
 def keyword_scorer(rules: RuleSet) -> Scorer:
     return lambda posts: score(posts, rules)
@@ -33,6 +37,36 @@ def text_sink(path: str, thresholds: Thresholds) -> Sink:
     return lambda routed, batch_id: write_alerts(routed, thresholds, path, batch_id)
 
 
+def run_feed(
+    mapped: DataFrame,
+    scorer: Scorer,
+    store: SeenStore,
+    batch_id: int,
+    now: datetime,
+    thresholds: Thresholds = Thresholds(),
+    sink: Sink | None = None,
+    on_bad: str = DROP_SOURCE,
+) -> DataFrame:
+    """Process mapped rows, rejects among them, as one batch.
+
+    Sources that hold a reject are left out without reading the feed twice: the
+    rejects travel through the same aggregation, folded to one row per source,
+    and the narrow result is filtered by them.
+    """
+    if on_bad == QUARANTINE:
+        posts = mapped.where(F.col("reject").isNull() & has_required_fields())
+        return run_batch(posts, scorer, store, batch_id, now, thresholds, sink)
+    rejected = F.col("reject").isNotNull()
+    scored = scorer(mapped.where(rejected | has_required_fields()))
+    bad_key = F.concat(F.lit(_REJECT), F.col("source"))
+    keyed = scored.withColumn(KEY, F.when(rejected, bad_key).otherwise(F.col(KEY)))
+    collected = store.write_collected(batch_summary(keyed, ALERT_FIELDS), batch_id, now)
+    is_reject = F.col(KEY).startswith(_REJECT)
+    bad = collected.where(is_reject).select("source").distinct()
+    sound = collected.where(~is_reject).join(bad, "source", "left_anti")
+    return _after_summary(sound, store, batch_id, now, thresholds, sink)
+
+
 def run_batch(
     posts: DataFrame,
     scorer: Scorer,
@@ -42,24 +76,40 @@ def run_batch(
     thresholds: Thresholds = Thresholds(),
     sink: Sink | None = None,
 ) -> DataFrame:
-    """Process one batch of postings and return its alerted rows.
+    """Process one batch of postings and return its alerted rows."""
+    summary = batch_summary(scorer(posts), ALERT_FIELDS)
+    return _after_summary(summary, store, batch_id, now, thresholds, sink)
 
-    Order of effects: the batch is remembered, then alerted, then marked, so an
-    alert goes out at most once per completed run of a batch id.
-    """
-    store.write_sightings(batch_summary(scorer(posts), ALERT_FIELDS), batch_id, now)
+
+def _after_summary(
+    summary: DataFrame,
+    store: SeenStore,
+    batch_id: int,
+    now: datetime,
+    thresholds: Thresholds,
+    sink: Sink | None,
+) -> DataFrame:
+    """Order of effects: remembered, then alerted, then marked, so an alert goes
+    out at most once per completed run of a batch id."""
+    sightings = store.write_sightings(summary, batch_id, now)
 
     # Only rows that can be alerted need to be compared with the past. The count
     # reads one column of the log and proves the size of what may be broadcast.
     lowest = min(thresholds.digest, thresholds.instant)
-    candidates = store.sightings_of(batch_id).where(F.col("first_score") >= lowest)
+    candidates = sightings.where(F.col("first_score") >= lowest)
     new = store.filter_new(candidates, batch_id, candidates.count())
     routed = route(new.withColumnRenamed("first_score", "score"), thresholds)
-    store.write_routed(routed, batch_id)
 
-    written = store.routed_of(batch_id)
+    written = store.write_routed(routed, batch_id)
     if sink is not None:
         sink(written, batch_id)
     chosen = alerted(written, thresholds)
     store.mark_notified(chosen, batch_id)
     return chosen
+
+
+def batch_counts(store: SeenStore, batch_id: int) -> DataFrame:
+    """Postings per source that the batch took in, repeats included."""
+    counts = store.sightings_of(batch_id).groupBy("source").agg(F.sum("n_rows").alias("n_posts"))
+    message = F.format_string("%s: %d posts", F.col("source"), F.col("n_posts"))
+    return counts.withColumn("message", message)

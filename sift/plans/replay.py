@@ -37,30 +37,40 @@ def fold_batches(scored: DataFrame, keep: Sequence[str], order: str = "ingest_se
     )
 
 
-def alerted_by_batch(
+def digest_cutoffs(
     folded: DataFrame, thresholds: Thresholds, order: str = "ingest_seq"
 ) -> DataFrame:
-    """First occurrences that were alerted, each under its own batch.
+    """Per batch, the arrival of the last digest item that is still under the cap.
 
-    The rank of the digest is limited on the map side before the shuffle, so a
-    batch that holds most rows sends a handful of them per task.
+    The rank is limited on the map side before the shuffle, so a batch that
+    holds most rows sends a handful of them per task.
     """
-    routed = folded.withColumn("route", route_name(F.col("first_score"), thresholds))
-    instant = routed.where(F.col("route") == INSTANT)
+    score = F.col("first_score")
+    digest = folded.where(route_name(score, thresholds) == DIGEST)
     in_batch = Window.partitionBy("first_batch").orderBy(order)
-    digest = routed.where(F.col("route") == DIGEST)
-    ranked = digest.withColumn("_rank", F.row_number().over(in_batch))
-    capped = ranked.where(F.col("_rank") <= thresholds.digest_max_items).drop("_rank")
-    return instant.unionByName(capped)
+    ranked = digest.select("first_batch", order, F.row_number().over(in_batch).alias("_rank"))
+    capped = ranked.where(F.col("_rank") <= thresholds.digest_max_items)
+    return capped.groupBy("first_batch").agg(F.max(order).alias("_cutoff"))
+
+
+def with_alerts(
+    folded: DataFrame, thresholds: Thresholds, order: str = "ingest_seq"
+) -> DataFrame:
+    """Add ``route``, and ``notified`` for the rows that were alerted.
+
+    The cutoffs hold one row per batch, so joining them moves no row of the
+    state unless there are very many batches. ``folded`` is read twice: give it
+    a written table when folding is the expensive part.
+    """
+    routed = folded.withColumn("route", route_name(F.col("first_score"), thresholds))
+    joined = routed.join(digest_cutoffs(folded, thresholds, order), "first_batch", "left")
+    in_digest = (F.col("route") == DIGEST) & (F.col(order) <= F.col("_cutoff"))
+    notified = F.coalesce((F.col("route") == INSTANT) | in_digest, F.lit(False))
+    return joined.withColumn("notified", notified).drop("_cutoff")
 
 
 def replay_state(
     scored: DataFrame, thresholds: Thresholds, keep: Sequence[str], order: str = "ingest_seq"
 ) -> DataFrame:
     """The seen state after all batches, with the notified flag."""
-    folded = fold_batches(scored, keep, order)
-    marks = alerted_by_batch(folded, thresholds, order).select(
-        "fingerprint", F.lit(True).alias("_mark")
-    )
-    flagged = folded.join(marks, "fingerprint", "left")
-    return flagged.withColumn("notified", F.coalesce("_mark", F.lit(False))).drop("_mark")
+    return with_alerts(fold_batches(scored, keep, order), thresholds, order)

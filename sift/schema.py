@@ -43,6 +43,7 @@ SIGHTING = T.StructType(
         T.StructField("now", T.TimestampType()),
         T.StructField("first_score", T.IntegerType()),
         T.StructField("last_score", T.IntegerType()),
+        T.StructField("n_rows", T.LongType()),
         T.StructField("ingest_seq", INGEST_SEQ),
         T.StructField("title", T.StringType()),
         T.StructField("company", T.StringType()),

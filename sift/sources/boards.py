@@ -12,18 +12,24 @@ from sift.params import Board
 _BOARD_COLUMNS = "token string, company string, board_ord int"
 
 
+# A board is two short strings; this many are a few tens of megabytes at most.
+MAX_BROADCAST_BOARDS = 100_000
+
+
 def boards_frame(spark: SparkSession, boards: Sequence[Board]) -> DataFrame:
-    """Boards in their configured order; repeats are kept, none gives no rows."""
+    """Boards in their configured order; repeats are kept, none gives no rows.
+
+    The list is counted here, where its length is known: a short one is marked
+    for broadcast, so that payload bodies are never shuffled to find their
+    board, and a long one is left to the optimizer.
+    """
     rows = [(b.token, b.company, ord_) for ord_, b in enumerate(boards)]
-    return spark.createDataFrame(rows, _BOARD_COLUMNS)
+    frame = spark.createDataFrame(rows, _BOARD_COLUMNS)
+    return F.broadcast(frame) if len(rows) <= MAX_BROADCAST_BOARDS else frame
 
 
 def join_boards(payloads: DataFrame, boards: DataFrame) -> DataFrame:
-    """Payloads of configured boards, once per time a board is listed.
-
-    No broadcast hint: the optimizer knows the size of the board list and
-    broadcasts it while it is below the session's limit.
-    """
+    """Payloads of configured boards, once per time a board is listed."""
     return payloads.join(boards, "token")
 
 

@@ -71,8 +71,8 @@ def isolate_sources(mapped: DataFrame, on_bad: str = DROP_SOURCE) -> DataFrame:
     ``drop_source`` leaves out every row of a source that has one reject;
     ``quarantine`` leaves out the rejects only. The bad sources are found with a
     map-side distinct, so what reaches the join is one row per source at most.
-    Detection reads the feed a second time; give it a written table where that
-    costs more than the table.
+    Finding them reads the feed a second time; ``plans.batch.run_feed`` gets by
+    with one reading.
     """
     good = mapping.postings(mapped)
     if on_bad == QUARANTINE:

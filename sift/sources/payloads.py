@@ -17,6 +17,9 @@ from sift.functions.variants import kind, members
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _LARGE_BODY = "array<struct<jobs: array<variant>>>"
 
+# What a posting is made of; everything else stays in the raw object.
+JOB_MEMBERS = ("title", "absolute_url", "location", "content", "updated_at")
+
 TOKEN_PATTERN = "/board=([^/]+)/"
 
 
@@ -51,7 +54,7 @@ def _large_body_jobs(wrapped: Column) -> Column:
 
 
 def job_rows(payloads: DataFrame) -> DataFrame:
-    """One row per job, with its place in the list.
+    """One row per job: its place in the list, the object, and its members.
 
     The body is wrapped in a list first, so that text after the object makes it
     invalid. A body without jobs to give keeps one row with a NULL ``pos``; its
@@ -65,13 +68,19 @@ def job_rows(payloads: DataFrame) -> DataFrame:
             "_more": F.try_variant_get("_body", "$[1]", "variant").isNotNull(),
         }
     )
-    # Rejoining through an outer generator keeps the bodies that give no job and
-    # stops the optimizer from parsing each body again in an inferred filter.
     listed = F.try_variant_get("_root.jobs", "$", "array<variant>")
     jobs = F.when(F.col("_body").isNull(), _large_body_jobs(wrapped)).when(~F.col("_more"), listed)
     opened = parsed.withColumn("_jobs", jobs).withColumn("payload_reject", _payload_reject())
     kept = [c for c in payloads.columns if c != "payload"]
-    return opened.select(*kept, "payload_reject", F.posexplode_outer("_jobs").alias("pos", "job"))
+    # The generator is outer to keep bodies that give no job, and because the
+    # filter inferred for an inner one would parse every body again. Objects are
+    # opened inside it: filters on members then stop at the generator instead of
+    # opening every object anew.
+    pairs = F.transform(
+        "_jobs", lambda job: F.struct(job.alias("job"), members(job, *JOB_MEMBERS).alias("part"))
+    )
+    rows = opened.select(*kept, "payload_reject", F.posexplode_outer(pairs).alias("pos", "_pair"))
+    return rows.select(*kept, "payload_reject", "pos", "_pair.job", "_pair.part")
 
 
 def _payload_reject() -> Column:

@@ -1,5 +1,6 @@
 """What was seen before, kept in append-only Parquet logs.
 
+    <root>/collected/batch_id=N   what batch N brought, with its bad sources
     <root>/sightings/batch_id=N   one row per fingerprint of batch N
     <root>/routed/batch_id=N      the new rows of batch N that have a route
     <root>/notified/batch_id=N    fingerprints alerted by batch N
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from sift.operators.dedup import not_known, not_known_small
 from sift.schema import NOTIFIED, ROUTED, SIGHTING, STATE
 
+_LOGS = {"collected": SIGHTING, "sightings": SIGHTING, "routed": ROUTED, "notified": NOTIFIED}
 _MERGES = "upto bigint, buckets int"
 
 # Keys of a batch up to this many rows (about 100 bytes each once hashed) are
@@ -48,7 +50,7 @@ class SeenStore:
 
     def _create(self) -> None:
         """Empty logs where there are none yet; existing ones are left alone."""
-        for name, schema in (("sightings", SIGHTING), ("routed", ROUTED), ("notified", NOTIFIED)):
+        for name, schema in _LOGS.items():
             empty = self.spark.createDataFrame([], schema)
             empty.write.mode("ignore").partitionBy("batch_id").parquet(self._path(name))
         merges = self.spark.createDataFrame([], _MERGES)
@@ -58,27 +60,34 @@ class SeenStore:
         path = f"{self.root}/{name}"
         return path if batch_id is None else f"{path}/batch_id={batch_id}"
 
-    def _log(self, name: str, schema, before: int | None, after: int | None = None) -> DataFrame:
-        rows = self.spark.read.schema(schema).parquet(self._path(name))
+    def _log(self, name: str, before: int | None = None, after: int | None = None) -> DataFrame:
+        rows = self.spark.read.schema(_LOGS[name]).parquet(self._path(name))
         if before is not None:
             rows = rows.where(F.col("batch_id") < before)
         if after is not None:
             rows = rows.where(F.col("batch_id") > after)
         return rows
 
+    def _of(self, name: str, batch_id: int) -> DataFrame:
+        return self._log(name).where(F.col("batch_id") == batch_id)
+
     def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(self._path(name, batch_id))
+        columns = [c for c in _LOGS[name].fieldNames() if c != "batch_id"]
+        rows.select(*columns).write.mode("overwrite").parquet(self._path(name, batch_id))
 
     # ---- one batch --------------------------------------------------------------
 
-    def write_sightings(self, summary: DataFrame, batch_id: int, now: datetime) -> None:
-        columns = [c for c in SIGHTING.fieldNames() if c != "batch_id"]
-        stamped = summary.withColumn("now", F.lit(now))
-        self._write(stamped.select(*columns), "sightings", batch_id)
+    def write_collected(self, summary: DataFrame, batch_id: int, now: datetime) -> DataFrame:
+        self._write(summary.withColumn("now", F.lit(now)), "collected", batch_id)
+        return self._of("collected", batch_id)
+
+    def write_sightings(self, summary: DataFrame, batch_id: int, now: datetime) -> DataFrame:
+        """Remember the batch. This is its commit."""
+        self._write(summary.withColumn("now", F.lit(now)), "sightings", batch_id)
+        return self._of("sightings", batch_id)
 
     def sightings_of(self, batch_id: int) -> DataFrame:
-        rows = self._log("sightings", SIGHTING, None)
-        return rows.where(F.col("batch_id") == batch_id)
+        return self._of("sightings", batch_id)
 
     def filter_new(self, rows: DataFrame, batch_id: int, n_rows: int | None = None) -> DataFrame:
         """Rows not seen before this batch, whatever this batch has written itself.
@@ -87,20 +96,17 @@ class SeenStore:
         read in place, otherwise both sides meet by key.
         """
         base, upto = self._base(batch_id)
-        logs = self._log("sightings", SIGHTING, batch_id, upto)
+        logs = self._log("sightings", batch_id, upto)
         known = [logs] if base is None else [base, logs]
         small = n_rows is not None and n_rows <= SMALL_BATCH_ROWS
         return (not_known_small if small else not_known)(rows, *known)
 
-    def write_routed(self, routed: DataFrame, batch_id: int) -> None:
-        columns = [c for c in ROUTED.fieldNames() if c != "batch_id"]
-        self._write(routed.select(*columns), "routed", batch_id)
-
-    def routed_of(self, batch_id: int) -> DataFrame:
-        return self._log("routed", ROUTED, None).where(F.col("batch_id") == batch_id)
+    def write_routed(self, routed: DataFrame, batch_id: int) -> DataFrame:
+        self._write(routed, "routed", batch_id)
+        return self._of("routed", batch_id)
 
     def mark_notified(self, fingerprints: DataFrame, batch_id: int) -> None:
-        self._write(fingerprints.select("fingerprint"), "notified", batch_id)
+        self._write(fingerprints, "notified", batch_id)
 
     # ---- the state --------------------------------------------------------------
 
@@ -111,8 +117,8 @@ class SeenStore:
     def _merged(self, before: int | None) -> DataFrame:
         base, upto = self._base(before)
         parts = [
-            sighting_states(self._log("sightings", SIGHTING, before, upto)),
-            notified_states(self._log("notified", NOTIFIED, before, upto)),
+            sighting_states(self._log("sightings", before, upto)),
+            notified_states(self._log("notified", before, upto)),
         ]
         if base is not None:
             parts.append(base)

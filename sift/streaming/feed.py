@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sift.params import DEFAULT_SOURCE, Board, Thresholds
-from sift.plans.batch import Scorer, Sink, run_batch
+from sift.plans.batch import Scorer, Sink, run_feed
 from sift.session import shared_folder
-from sift.sources.collect import DROP_SOURCE, board_source, isolate_sources
+from sift.sources.collect import DROP_SOURCE, board_source
 from sift.sources.payloads import stream_payload_files
 from sift.state.seen import SeenStore
 
@@ -35,7 +35,7 @@ def start_feed(
     max_files: int = 1000,
     **trigger,
 ) -> StreamingQuery:
-    """Run every micro-batch of landed files through ``run_batch``.
+    """Run every micro-batch of landed files through ``run_feed``.
 
     A micro-batch that is tried again keeps its batch id and so overwrites its
     own traces. The default trigger takes what has landed and stops.
@@ -47,8 +47,8 @@ def start_feed(
 
     def process(landed: DataFrame, batch_id: int) -> None:
         mapped = board_source(lambda _: landed, boards, source).load(landed.sparkSession, 0)
-        posts = isolate_sources(mapped, on_bad)
-        run_batch(posts, scorer, store, batch_id, clock(batch_id), thresholds, sink)
+        now = clock(batch_id)
+        run_feed(mapped, scorer, store, batch_id, now, thresholds, sink, on_bad)
 
     landed = stream_payload_files(spark, landing, max_files)
     writer = landed.writeStream.foreachBatch(process).option("checkpointLocation", where)
