@@ -50,7 +50,7 @@ DOCUMENT_RULES = RuleSet(
 
 THRESHOLDS = Thresholds()
 
-# Seven boards are configured: one of them twice, one that never lands anything.
+# One board is listed twice, and one never lands anything.
 PAGE_BOARDS = (
     Board("en", "English pages"),
     Board("fr", "Pages françaises"),
@@ -78,19 +78,19 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name"),
     )
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    return joined.select(
+    return joined.withColumn("title", title).select(
         "l_orderkey",
         "l_linenumber",
         F.struct(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
         ).alias("ingest_seq"),
-        title.alias("title"),
+        "title",
         F.col("p_brand").alias("company"),
         F.col("p_type").alias("location"),
         F.concat(F.lit("https://parts.example/"), F.col("p_partkey").cast("string")).alias("url"),
         F.lit("catalog").alias("source"),
         F.coalesce(
-            remote_flag(title, F.col("p_type"), F.lit("")), F.when(flag == "N", F.lit(False))
+            remote_flag(F.col("title"), F.col("p_type"), F.lit("")), F.when(flag == "N", F.lit(False))
         ).alias("remote"),
         F.lit("").alias("description"),
         F.when((flag == "R") & (status == "F"), "lead").alias("seniority"),

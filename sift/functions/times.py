@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The shape nearly every feed sends; Spark's own cast reads it as wanted.
+# The shape nearly every feed sends; Spark's own cast reads it as wanted. The
+# years at either end are left to the general path, which checks the range.
 _COMMON = (
-    r"^(?!0000)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?"
+    r"^(?!000[01]|9999)\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?"
     r"[+-](?:0\d|1[0-7]):[0-5]\d\z"
 )
 
@@ -18,7 +19,7 @@ _WEEK = r"(\d{4})(-?)W(\d{2})(?:\6([1-7]))?(?!\d)"
 _CLOCK = r"(\d{2})(?:(:?)(\d{2})(?:\10(\d{2}))?)?(?:(?:[.,]|(?<=:\d\d:\d\d):)(\d+))?"
 _OFFSET = r"([+-])(\d{2})(?:(:?)(\d{2})(?:\16(\d{2}))?)?(?:[.,](\d+))?"
 _STRAY = r"(?:(?<![.,]\d{1,5}).)"
-_FORM = rf"(?s)^(?:{_CALENDAR}|{_WEEK})(?:.{_CLOCK}(?:{_STRAY}?{_OFFSET})?)?\z"
+_FORM = rf"(?s)^(?!0000)(?:{_CALENDAR}|{_WEEK})(?:.{_CLOCK}(?:{_STRAY}?{_OFFSET})?)?\z"
 _GROUPS = {
     "year": 1, "month": 3, "day": 4,
     "week_year": 5, "week": 7, "week_day": 8,
@@ -32,28 +33,30 @@ _MIN_MICROS = -62135596800000000
 _MAX_MICROS = 253402300799999999
 
 
-def _in_range(micros: Column) -> Column:
-    return F.when(micros.between(_MIN_MICROS, _MAX_MICROS), micros)
-
-
 def _cast_micros(text: Column) -> Column:
     return F.unix_micros(text.try_cast("timestamp"))
 
 
 def _general_micros(text: Column) -> Column:
-    """Any accepted form. The parts are bound once, as the element of a list, and
-    the arithmetic on them stays out of the generated code of the common path."""
+    """Any accepted form.
+
+    Lists of one element bind a value that is used several times; it is computed
+    once, and only for the rows that take this path.
+    """
     replacement = "|".join(f"${n}" for n in _GROUPS.values())
     parts = F.split(F.regexp_replace(text, F.lit(_FORM), F.lit(replacement)), r"\|")
     matched = F.when(text.rlike(_FORM), F.array(parts))
-    return F.get(F.transform(matched, _micros_of_parts), F.lit(0))
+    micros = F.transform(matched, _micros_of_parts)
+    in_range = F.filter(micros, lambda m: m.between(_MIN_MICROS, _MAX_MICROS))
+    return F.get(in_range, F.lit(0))
 
 
 def _micros_of_parts(parts: Column) -> Column:
     part = {name: F.get(parts, F.lit(i)) for i, name in enumerate(_GROUPS)}
 
     def digits(name: str) -> Column:
-        return F.coalesce(part[name].try_cast("int"), F.lit(0))
+        # The parts are digits or nothing; a failing cast would be slow.
+        return F.concat(F.lit("0"), part[name]).cast("int")
 
     def padded(name: str) -> Column:
         return F.when(part[name] == "", "00").otherwise(part[name])
@@ -82,12 +85,13 @@ def _micros_of_parts(parts: Column) -> Column:
         + digits("off_second")
     ).cast("bigint") * F.lit(1000000) + micro("off_fraction").cast("bigint")
     signed = F.when(part["sign"] == "-", -offset).otherwise(offset)
-    wall = _in_range(_cast_micros(F.concat(date, clock)))
-    return F.when(offset < _DAY_MICROS, wall - signed)
+    wall = _cast_micros(F.concat(date, clock))
+    # A week date may run past the last four-digit year.
+    return F.when((F.length(date) == 10) & (offset < _DAY_MICROS), wall - signed)
 
 
 def parse_utc(text: Column) -> Column:
     """Timestamp of ISO-8601 text; text without an offset is UTC; else NULL."""
     plain = F.replace(text, F.lit("Z"), F.lit("+00:00"))
     micros = F.when(plain.rlike(_COMMON), _cast_micros(plain)).otherwise(_general_micros(plain))
-    return F.timestamp_micros(_in_range(micros))
+    return F.timestamp_micros(micros)

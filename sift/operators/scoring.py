@@ -120,7 +120,7 @@ def total_score(rules: RuleSet) -> Column:
     return F.when(F.col("kill").isNotNull(), F.lit(0)).otherwise(clamped).cast("int")
 
 
-def reasons(rules: RuleSet) -> Column:
+def joined_reasons(rules: RuleSet) -> Column:
     """Ordered reasons; the generic ones stand between the groups and remote."""
     label = {
         hit: F.when(F.col(hit), F.lit(f"{name}:{sign}{weight}"))
@@ -128,21 +128,23 @@ def reasons(rules: RuleSet) -> Column:
     }
     remote, senior = label.pop("remote_boost"), label.pop("senior_penalty")
     generic = F.when(F.col("generic") != "", F.col("generic"))
-    joined = F.concat_ws(REASON_SEPARATOR, *label.values(), generic, remote, senior)
+    alive = F.concat_ws(REASON_SEPARATOR, *label.values(), generic, remote, senior)
+    return F.coalesce(F.concat(F.lit("kill:"), F.col("kill")), alive)
+
+
+def reason_list(joined: Column) -> Column:
     listed = F.slice(F.split(joined, REASON_SEPARATOR), 1, MAX_REASONS)
-    return (
-        F.when(F.col("kill").isNotNull(), F.array(F.concat(F.lit("kill:"), F.col("kill"))))
-        .when(joined != "", listed)
-        .otherwise(F.array().cast("array<string>"))
-    )
+    return F.when(joined != "", listed).otherwise(F.array().cast("array<string>"))
 
 
 def score(posts: DataFrame, rules: RuleSet) -> DataFrame:
     """Add ``score``, ``reasons`` and ``fingerprint`` to every posting."""
     key = fingerprint(F.col("source"), F.col("company"), F.col("url"))
-    return rule_hits(posts, rules).select(
+    judged = rule_hits(posts, rules).select(
         *posts.columns,
         total_score(rules).alias("score"),
-        reasons(rules).alias("reasons"),
+        joined_reasons(rules).alias("_reasons"),
         key.alias("fingerprint"),
     )
+    listed = judged.withColumn("reasons", reason_list(F.col("_reasons")))
+    return listed.select(*posts.columns, "score", "reasons", "fingerprint")

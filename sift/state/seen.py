@@ -6,11 +6,12 @@
     <root>/notified/batch_id=N    fingerprints alerted by batch N
     <root>/base_<K>               the merged state up to batch K, bucketed by key
     <root>/merges                 which base tables are complete
+    <root>/batches                which batch id a stream's own batch was given
 
 A batch only ever writes its own folders and only ever reads those of earlier
 batches. A replay therefore overwrites what the first try left and comes to the
 same result, and a batch that broke off half way is invisible to its successors'
-reads until it is run again.
+reads until it is run again. One run at a time may write to a store.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from sift.schema import NOTIFIED, ROUTED, SIGHTING, STATE
 
 _LOGS = {"collected": SIGHTING, "sightings": SIGHTING, "routed": ROUTED, "notified": NOTIFIED}
 _MERGES = "upto bigint, buckets int"
+_BATCHES = "feed string, feed_batch bigint, batch_id bigint"
 
 # Keys of a batch up to this many rows (about 100 bytes each once hashed) are
 # broadcast instead of shuffling the state.
@@ -53,8 +55,8 @@ class SeenStore:
         for name, schema in _LOGS.items():
             empty = self.spark.createDataFrame([], schema)
             empty.write.mode("ignore").partitionBy("batch_id").parquet(self._path(name))
-        merges = self.spark.createDataFrame([], _MERGES)
-        merges.write.mode("ignore").parquet(self._path("merges"))
+        for name, schema in (("merges", _MERGES), ("batches", _BATCHES)):
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self._path(name))
 
     def _path(self, name: str, batch_id: int | None = None) -> str:
         path = f"{self.root}/{name}"
@@ -75,6 +77,32 @@ class SeenStore:
         columns = [c for c in _LOGS[name].fieldNames() if c != "batch_id"]
         rows.select(*columns).write.mode("overwrite").parquet(self._path(name, batch_id))
 
+    # ---- batch ids --------------------------------------------------------------
+
+    def next_batch_id(self) -> int:
+        """One past every batch id in use; for runs started by hand."""
+        used = self._log("sightings").select("batch_id").unionByName(
+            self._batches().select("batch_id")
+        )
+        newest = used.agg(F.max("batch_id")).first()[0]
+        return 0 if newest is None else newest + 1
+
+    def batch_id_for(self, feed: str, feed_batch: int) -> int:
+        """The batch id of a stream's batch: a new one, or that of its first try."""
+        given = self._batches().where(
+            (F.col("feed") == feed) & (F.col("feed_batch") == feed_batch)
+        )
+        row = given.agg(F.max("batch_id").alias("batch_id")).first()
+        if row.batch_id is not None:
+            return row.batch_id
+        batch_id = self.next_batch_id()
+        entry = self.spark.createDataFrame([(feed, feed_batch, batch_id)], _BATCHES)
+        entry.write.mode("append").parquet(self._path("batches"))
+        return batch_id
+
+    def _batches(self) -> DataFrame:
+        return self.spark.read.schema(_BATCHES).parquet(self._path("batches"))
+
     # ---- one batch --------------------------------------------------------------
 
     def write_collected(self, summary: DataFrame, batch_id: int, now: datetime) -> DataFrame:
@@ -114,7 +142,7 @@ class SeenStore:
         """One row per fingerprint, as it stood before the given batch."""
         return self._merged(before).select(*STATE_COLUMNS)
 
-    def _merged(self, before: int | None) -> DataFrame:
+    def _merged(self, before: int | None, buckets: int | None = None) -> DataFrame:
         base, upto = self._base(before)
         parts = [
             sighting_states(self._log("sightings", before, upto)),
@@ -122,16 +150,19 @@ class SeenStore:
         ]
         if base is not None:
             parts.append(base)
-        return merge_states(parts)
+        return merge_states(parts, buckets)
 
     def compact(self, upto: int) -> None:
         """Merge all batches up to ``upto`` into one bucketed table.
 
-        Later batches then join with it without moving it. A replay of a batch
+        Later batches then join with it without moving it. The rows are brought
+        into their buckets by the shuffle that merges them, so each bucket is one
+        file; choose the number of buckets for about a gigabyte of keys each. A
+        replay of a batch
         at or below ``upto`` still sees the right past: only tables merged
         before that batch are used.
         """
-        merged = self._merged(upto + 1)
+        merged = self._merged(upto + 1, self.buckets)
         writer = merged.write.format("parquet").mode("overwrite")
         writer = writer.bucketBy(self.buckets, "fingerprint").sortBy("fingerprint")
         writer.option("path", f"{self.root}/base_{upto}").saveAsTable(self._table(upto))
@@ -181,7 +212,7 @@ def notified_states(notified: DataFrame) -> DataFrame:
     return notified.select("fingerprint", F.col("batch_id").alias("notified_batch"))
 
 
-def merge_states(parts: list[DataFrame]) -> DataFrame:
+def merge_states(parts: list[DataFrame], buckets: int | None = None) -> DataFrame:
     """Union the parts and fold them by fingerprint in one shuffle.
 
     The oldest part gives the descriptive columns, the newest the score. Marks
@@ -190,6 +221,8 @@ def merge_states(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part, allowMissingColumns=True)
+    if buckets is not None:
+        whole = whole.repartition(buckets, "fingerprint")
     described = F.struct("source", "company", "title", "url")
     folded = whole.groupBy("fingerprint").agg(
         F.min("first_seen").alias("first_seen"),

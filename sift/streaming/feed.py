@@ -37,15 +37,17 @@ def start_feed(
 ) -> StreamingQuery:
     """Run every micro-batch of landed files through ``run_feed``.
 
-    A micro-batch that is tried again keeps its batch id and so overwrites its
-    own traces. The default trigger takes what has landed and stops.
+    A micro-batch that is tried again is given the batch id of its first try and
+    so overwrites its own traces; streams and runs by hand can share a store. The
+    checkpoint folder is the name of the feed. The default trigger takes what has landed and stops.
     """
     folder = checkpoint or shared_folder(spark)
     if folder is None:
         raise ValueError("give a checkpoint folder or set spark.checkpoint.dir")
     where = checkpoint or f"{folder}/sift-feed"
 
-    def process(landed: DataFrame, batch_id: int) -> None:
+    def process(landed: DataFrame, feed_batch: int) -> None:
+        batch_id = store.batch_id_for(where, feed_batch)
         mapped = board_source(lambda _: landed, boards, source).load(landed.sparkSession, 0)
         now = clock(batch_id)
         run_feed(mapped, scorer, store, batch_id, now, thresholds, sink, on_bad)

@@ -112,6 +112,15 @@ def test_golden_store_vectors_replay_and_compaction(spark, letters, store, tmp_p
     assert state_of(SeenStore(spark, store.root, buckets=4)) == expected
 
 
+def test_batch_ids_are_kept_apart(letters, store):
+    assert store.next_batch_id() == 0
+    assert [store.batch_id_for("x", 0), store.batch_id_for("x", 1)] == [0, 1]
+    run_batch(letters("A:1"), given_scores, store, store.next_batch_id(), clock(0))
+    assert store.batch_id_for("x", 2) == 3
+    assert store.batch_id_for("y", 0) == 4
+    assert [store.batch_id_for("x", n) for n in (0, 1, 2)] == [0, 1, 3]
+
+
 def test_state_before_a_batch(letters, store, tmp_path):
     for n in (1, 2):
         run_golden(letters, store, n, tmp_path)
