@@ -17,6 +17,7 @@ from sift.functions.variants import members, not_text, string_or_null
 from sift.params import DEFAULT_SOURCE, REMOTE_MARKERS
 from sift.schema import POSTING
 
+# The text members of a content object, in their order.
 DESCRIPTION_PARTS = ("description", "requirements", "responsibilities")
 
 

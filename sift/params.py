@@ -14,6 +14,16 @@ from typing import Any
 # Separates reasons while they are assembled as one string.
 REASON_SEPARATOR = "\u001f"
 
+
+@dataclass(frozen=True)
+class SkillGroup:
+    """Needles that together add one weight, once, under one reason name."""
+
+    name: str
+    weight_key: str
+    needles: tuple[str, ...]
+
+
 # ---- fixed values -----------------------------------------------------------
 BASE_SCORE = 50
 MIN_SCORE = 0
@@ -34,6 +44,12 @@ DEFAULT_WEIGHTS = {
 SENIOR_MARKERS = ("principal", "staff", "head of", "director", "vp", "lead")
 REMOTE_MARKERS = ("remote", "distributed", "anywhere")
 DEFAULT_SOURCE = "greenhouse"
+
+DEFAULT_GROUPS = (
+    SkillGroup("sql", "skill_sql", ("sql",)),
+    SkillGroup("python", "skill_python", ("python",)),
+    SkillGroup("data_quality", "skill_data_quality", ("data quality", "testing", "dq")),
+)
 # -----------------------------------------------------------------------------
 
 
@@ -52,22 +68,6 @@ def _needles(keywords: Iterable[str | None]) -> tuple[str, ...]:
     return found
 
 
-@dataclass(frozen=True)
-class SkillGroup:
-    """Needles that together add one weight, once, under one reason name."""
-
-    name: str
-    weight_key: str
-    needles: tuple[str, ...]
-
-
-DEFAULT_GROUPS = (
-    SkillGroup("sql", "skill_sql", ("sql",)),
-    SkillGroup("python", "skill_python", ("python",)),
-    SkillGroup("data_quality", "skill_data_quality", ("data quality", "testing", "dq")),
-)
-
-
 @dataclass(frozen=True)
 class RuleSet:
     """Ordered keyword rules. The order of every list is part of its meaning."""
@@ -139,10 +139,11 @@ class Settings:
         limits = _section(data, "pipeline")
         feed = _section(data, "sources", "greenhouse")
         scoring = _section(data, "scoring")
+        usual = Thresholds()
         thresholds = Thresholds(
-            int(limits.get("instant_threshold", 85)),
-            int(limits.get("digest_threshold", 70)),
-            int(limits.get("digest_max_items", 15)),
+            int(limits.get("instant_threshold", usual.instant)),
+            int(limits.get("digest_threshold", usual.digest)),
+            int(limits.get("digest_max_items", usual.digest_max_items)),
         )
         tokens = (feed.get("boards") or ()) if feed.get("enabled", True) else ()
         rules = RuleSet(

@@ -17,7 +17,7 @@ from sift.functions.variants import kind, members
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _LARGE_BODY = "array<struct<jobs: array<variant>>>"
 
-# What a posting is made of; everything else stays in the raw object.
+# What a posting is made of. All else stays in the raw object.
 JOB_MEMBERS = ("title", "absolute_url", "location", "content", "updated_at")
 
 TOKEN_PATTERN = "/board=([^/]+)/"
