@@ -137,13 +137,13 @@ mapped AS (
 ),
 bad AS (
   SELECT landed_pos, host FROM job
-  WHERE pos = 0 AND ends_with(url, '#top') AND landed_pos <> 0
+  WHERE pos = 0 AND ends_with(url, '#top') AND starts_with(host, 'm.') AND landed_pos <> 0
 ),
 isolated AS (
   SELECT host AS source, title, url, landed_pos, pos FROM job
   WHERE title <> '' AND url <> '' AND host NOT IN (SELECT host FROM bad)
     -- A numeric title of zero is blank, not bad.
-    AND NOT (landed_pos = 0 AND pos = 0 AND ends_with(url, '#top'))
+    AND NOT (landed_pos = 0 AND pos = 0 AND ends_with(url, '#top') AND starts_with(host, 'm.'))
 )"""
 
 

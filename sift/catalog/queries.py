@@ -330,8 +330,9 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _isolated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every host is a source; pages linked to their top carry a numeric title."""
-    landed = views.landed_pages(spark, sf_dir, F.col("url").endswith("#top"))
+    """Every host is a source; mobile pages linked to their top carry a numeric title."""
+    numeric = F.col("url").endswith("#top") & F.col("host").startswith("m.")
+    landed = views.landed_pages(spark, sf_dir, numeric)
     jobs = payloads.job_rows(landed.withColumns({"company": F.col("token"), "board_ord": F.lit(0)}))
     return mapping.map_jobs(boards.with_ingest_seq(jobs), F.col("host"))
 
