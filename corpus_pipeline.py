@@ -1 +1,67 @@
-"""The corpus pipeline: raw documents to token ids, in five stages."""
+"""The corpus pipeline: raw documents to token ids, in five stages.
+
+Every stage works on all that its predecessor kept. The first four return the
+columns of ``documents``; the last returns ``doc_id``, the token ids, their number
+and whether decoding them gives the text back.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sift.llm import byte_bpe, decontam, frames, near_dedup, quality, secrets
+
+TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Least similarity, in percent, of near-duplicates.
+SIMILARITY = 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the isolation forest."""
+    forest = quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judged(docs, forest).where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.deduplicated(docs, SIMILARITY)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secrets.without_secrets(docs)
+
+
+def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    found = byte_bpe.encoded(docs, TOKENIZER, ["doc_id", "text"])
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return found.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == text.cast("binary")).alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("byte_bpe_encoding", byte_bpe_encoding),
+]
+
+#: A forest and BPE merges are no SQL; the tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    folder = frames.scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES):
+        docs = frames.stored(stage(spark, docs, sf_dir), folder, f"{number}-{name}")
+    return docs

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sift.llm import near_dedup
-from sift.llm import oracles
+import corpus_pipeline
+from sift.llm import byte_bpe, decontam, near_dedup, oracles, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,17 +22,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _joined_sha256(items: Column) -> Column:
+    return F.sha2(F.array_join(items, ","), 256)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets_in(_table(spark, sf_dir, "documents"), ["doc_id"])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("row.doc_id", *map(count, secrets.BASE_KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.encoded(_table(spark, sf_dir, "documents"), path, ["doc_id"])
+    return found.select(
+        "row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        _joined_sha256(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    forest = quality.fitted(docs, _table(spark, sf_dir, "labels"))
+    found = quality.judged(docs, forest, ["doc_id"])
+    return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        _joined_sha256(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_secret_scan": op3_secret_scan,
+        "op5_byte_bpe": op5_byte_bpe,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_decontamination": op9_decontamination,
         "op10_near_dedup": op10_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_decontamination": oracles.DECONTAMINATION,
         "op10_near_dedup": oracles.NEAR_DEDUP,
     }

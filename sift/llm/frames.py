@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sift.session import shared_folder
 
@@ -34,11 +35,22 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that one holds about ``CHUNK_BYTES`` of ``column``."""
+def annotated(df: DataFrame, keep: list[str], text: str, fn, fields: str) -> DataFrame:
+    """``row`` (the columns ``keep`` as a struct) and what ``fn`` finds in each text.
+
+    ``fn`` takes a ``Texts`` of about ``CHUNK_BYTES`` and gives one Arrow array for
+    each of ``fields`` (DDL). The kept columns travel in a struct, so no name of
+    theirs can clash with a result.
+    """
     from sift.llm.words import chunks, texts_of
 
-    for batch in batches:
-        texts = texts_of(batch.column(batch.schema.get_field_index(column)))
-        for lo, hi, _ in chunks(texts):
-            yield batch.slice(lo, hi - lo)
+    packed = df.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"))
+    row = packed.schema["row"].dataType.simpleString()
+    names = ["row", *(f.split()[0] for f in fields.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, part in chunks(texts_of(batch.column(1))):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *fn(part)], names=names)
+
+    return packed.mapInArrow(run, f"row {row}, {fields}")

@@ -220,3 +220,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Rows of ``docs``, all columns: of each group of near-duplicates the smallest ``doc_id``.
+
+    Rows that repeat a ``doc_id`` count as one document, and one row stays. Rows without
+    ``doc_id``, and those without words, stay.
+    """
+    spark = docs.sparkSession
+    folder = frames.scratch(spark)
+    found = frames.stored(near_duplicates(docs, percent).select("doc_id", "kept"), folder, "decisions")
+    dropped = found.where("not kept").select("doc_id").distinct()
+    if dropped.count() <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    repeated = frames.stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "repeated")
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)

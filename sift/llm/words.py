@@ -116,6 +116,14 @@ def chunks(texts: Texts, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Te
         lo = hi
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each ``data[start:end]``, from running sums; the place does not matter."""
+    up, down = _POWERS.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 def split_words(texts: Texts, separator: np.ndarray, fold: bool) -> Words:
     """Words between separator bytes, with ``A-Z`` lower-cased first if ``fold``."""
     data = LOWER[texts.data] if fold else texts.data
@@ -134,10 +142,7 @@ def split_words(texts: Texts, separator: np.ndarray, fold: bool) -> Words:
     cut = edges[edges > 0]
     ends[cut] |= inside[cut - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = _POWERS.upto(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[:n], out=sums[1:])
-    value = mix((sums[end] - sums[start]) * down[start])
+    value = span_hash(data, start, end)
     first = np.searchsorted(start, np.append(texts.start, texts.end[-1:] if len(texts) else [0]))
     return Words(start, end, first, value)
 
