@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sift.llm import byte_bpe, chat, decontam, near_dedup, oracles, quality, secrets
+from sift.llm import byte_bpe, chat, decontam, html_text, language, near_dedup, oracles, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,12 @@ def _joined_sha256(items: Column) -> Column:
     return F.sha2(F.array_join(items, ","), 256)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identified(docs, language.learned(docs), ["doc_id"])
+    return found.select("row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets_in(_table(spark, sf_dir, "documents"), ["doc_id"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -34,6 +40,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *map(count, secrets.BASE_KINDS), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extracted(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = byte_bpe.encoded(_table(spark, sf_dir, "documents"), path, ["doc_id"])
@@ -79,7 +90,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_language": op1_language,
         "op3_secret_scan": op3_secret_scan,
+        "op4_html_text": op4_html_text,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_chat_format": op6_chat_format,
         "op7_quality_rules": op7_quality_rules,
