@@ -24,7 +24,7 @@ GRAMS = (3, 4)
 SLOTS_LOG2 = 19
 HASHES = 3
 #: Labelled documents per language that the filters are learned from at most.
-DOCS_PER_LANGUAGE = 2000
+DOCS_PER_LANGUAGE = 1000
 #: An n-gram enters a filter if its share there is this large, and not this many
 #: times smaller than its largest share in any language.
 LEAST_SHARE = 2e-6
@@ -137,7 +137,8 @@ def learned(docs: DataFrame) -> Filters:
 
     At most ``DOCS_PER_LANGUAGE`` documents of a language are read, those with the
     smallest hash of their id. The top rows per language come from a row number whose
-    limit is applied before the shuffle, so a language with most rows is no hot key.
+    limit is applied before the shuffle (Spark does so up to 1,000), so a language
+    with most rows is no hot key.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
     own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
