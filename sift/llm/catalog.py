@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sift.llm import byte_bpe, chat, decontam, html_text, language, near_dedup, oracles, quality, secrets
+from sift.llm import byte_bpe, chat, decontam, html_text, language, near_dedup, oracles, quality, secrets, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = token_files.round_trip(_table(spark, sf_dir, "documents"), path, end_id=2)
+    return token_files.checked(found)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select(
@@ -96,6 +102,7 @@ def queries() -> dict[str, Query]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_chat_format": op6_chat_format,
         "op7_quality_rules": op7_quality_rules,
+        "op8_token_files": op8_token_files,
         "op9_decontamination": op9_decontamination,
         "op10_near_dedup": op10_near_dedup,
         "pipeline": corpus_pipeline.run,
