@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sift.llm import byte_bpe, chat, decontam, html_text, language, near_dedup, oracles, quality, secrets, token_files
+from sift.llm import byte_bpe, chat, decontam, html_text, language, near_dedup, oracles, quality, secrets, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,14 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", language.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.learned(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.scored(docs, net, ["doc_id"])
+    held_out = language.held_out(F.col("row.doc_id")).alias("held_out")
+    return found.select("row.doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets_in(_table(spark, sf_dir, "documents"), ["doc_id"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -97,6 +105,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
+        "op2_toxicity": op2_toxicity,
         "op3_secret_scan": op3_secret_scan,
         "op4_html_text": op4_html_text,
         "op5_byte_bpe": op5_byte_bpe,
