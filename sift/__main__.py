@@ -4,9 +4,10 @@
         --landing /feed --state /seen --alerts /alerts [--stream] [--compact]
 
 The configuration is a JSON file, or YAML where a YAML reader is installed, with
-the sections ``Settings.from_mapping`` reads. A run by hand takes the next batch
-id; ``--stream`` takes everything that landed since the last time, batch by
-batch, and stops.
+the sections ``Settings.from_mapping`` reads. A run by hand takes in all of the landing
+folder, so name the folder of one snapshot; it takes the next batch id, or
+``--batch-id`` to try one again. ``--stream`` takes everything that landed since the
+last time as one batch, and stops.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import SparkSession
 from sift.params import Settings
 from sift.plans.batch import batch_counts, keyword_scorer, run_feed, text_sink
 from sift.session import configure
-from sift.sources.collect import DROP_SOURCE, QUARANTINE, board_source
-from sift.sources.payloads import read_payload_files
+from sift.sources.collect import DROP_SOURCE, QUARANTINE, board_source, load_sources
+from sift.sources.payloads import read_payload_files, read_payload_lines
 from sift.state.seen import SeenStore
 from sift.streaming.feed import start_feed
 
@@ -45,27 +46,34 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("--stream", action="store_true")
     parser.add_argument("--checkpoint", help="defaults to a folder under spark.checkpoint.dir")
     parser.add_argument("--compact", action="store_true", help="merge the state before the run")
+    parser.add_argument("--expire", action="store_true", help="delete what merged state has taken in")
+    parser.add_argument("--buckets", type=int, default=256, help="buckets of merged state")
+    parser.add_argument("--batch-id", type=int, help="run this batch again")
+    parser.add_argument("--lines", action="store_true", help="one body a line instead of one a file")
     parser.add_argument("--on-bad", choices=(DROP_SOURCE, QUARANTINE), default=DROP_SOURCE)
     args = parser.parse_args(arguments)
 
     settings = read_settings(args.config)
     spark = configure(spark or SparkSession.builder.appName("sift").getOrCreate())
-    store = SeenStore(spark, args.state)
+    store = SeenStore(spark, args.state, args.buckets)
     scorer, limits = keyword_scorer(settings.rules), settings.thresholds
     sink = text_sink(args.alerts, limits)
-    batch_id = store.next_batch_id()
+    batch_id = store.next_batch_id() if args.batch_id is None else args.batch_id
     if args.compact and batch_id > 0:
         store.compact(batch_id - 1)
+    if args.expire and batch_id > 0:
+        store.expire(batch_id - 1)
     if args.stream:
         start_feed(
             spark, args.landing, settings.boards, scorer, store, limits, sink,
             checkpoint=args.checkpoint, on_bad=args.on_bad,
         ).awaitTermination()
         return
-    feed = board_source(lambda s: read_payload_files(s, args.landing), settings.boards)
-    mapped, now = feed.load(spark, 0), datetime.now(timezone.utc)
+    read = read_payload_lines if args.lines else read_payload_files
+    feed = board_source(lambda s: read(s, args.landing, settings.boards), settings.boards)
+    mapped, now = load_sources(spark, [feed]), datetime.now(timezone.utc)
     run_feed(mapped, scorer, store, batch_id, now, limits, sink, args.on_bad)
-    for row in batch_counts(store, batch_id).collect():
+    for row in batch_counts(store, batch_id, [feed.name]).collect():
         print(row.message)
 
 

@@ -7,13 +7,43 @@ out as SQL lists; nothing here goes through the Spark expressions.
 from __future__ import annotations
 
 from collections.abc import Sequence
-
-from sift.catalog.views import DOCUMENT_RULES, OFFER_RULES, WEIGHTED_RULES
-from sift.params import RuleSet
+from dataclasses import dataclass, field
 
 INSTANT, DIGEST, CAP = 85, 70, 15
 
 
+@dataclass(frozen=True)
+class Words:
+    """Rule words as this side spells them; the defaults are written out again."""
+
+    roles: tuple[str, ...]
+    generic: tuple[str, ...]
+    exclude: tuple[str, ...]
+    weights: dict[str, int] = field(default_factory=dict)
+    sql: tuple[str, ...] = ("sql",)
+    python: tuple[str, ...] = ("python",)
+    quality: tuple[str, ...] = ("data quality", "testing", "dq")
+    senior: tuple[str, ...] = ("principal", "staff", "head of", "director", "vp", "lead")
+
+
+OFFER_WORDS = Words(
+    ("analytics engineer", "data analyst"),
+    ("ring", "plate", "brand#1", "small", "large", "standard", "an", "o"),
+    ("tirocinio", "intern", "blue anvil"),
+)
+WEIGHTED_WORDS = Words(
+    OFFER_WORDS.roles, OFFER_WORDS.generic, OFFER_WORDS.exclude,
+    {"role_match": 30, "skill_sql": -4, "skill_data_quality": 12, "remote": -7, "senior_penalty": -3},
+)
+DOCUMENT_WORDS = Words(("license",), ("ment", "tion", "ung", "que", "des"), ("token",))
+PAGE_WORDS = Words(("the", "les", "der", "los"), ("ment", "tion", "ung", "des"), ("que en",))
+LONG_WORDS = Words(
+    (*(f"role {n}" for n in range(300)), "data analyst"),
+    (*(f"skill {n}" for n in range(300)), "ring", "plate", "small", "large", "an"),
+    (*(f"word {n}" for n in range(300)), "intern"),
+)
+
+
 def _list(values: Sequence[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]::VARCHAR[]"
 
@@ -147,30 +177,40 @@ isolated AS (
 )"""
 
 
+FEED = """
+posts AS (
+  SELECT *, lower(concat(title, chr(10), company, chr(10), location, chr(10), description,
+              chr(10), chr(10), chr(10), chr(10))) AS t,
+         sha256(lower(trim(source || '|' || company || '|' || url)))[1:16] AS fingerprint
+  FROM (
+    SELECT mapped.*, mapped.host AS source, token AS company FROM mapped
+    WHERE title <> '' AND url <> '' AND host NOT IN (SELECT host FROM bad)
+      AND NOT (landed_pos = 0 AND pos = 0 AND ends_with(url, '#top') AND starts_with(host, 'm.'))
+  )
+)"""
+
+
 # ---- scoring --------------------------------------------------------------------
 
 
-def _hits(rules: RuleSet) -> str:
-    sql, python, quality = (g.needles for g in rules.groups)
-    reserved = {n for g in rules.groups for n in g.needles}
-    generic = [s for s in rules.skills if s not in reserved]
+def _hits(rules: Words) -> str:
     return f"""
 hits AS (
   SELECT *,
     list_filter({_list(rules.exclude)}, lambda n: contains(t, n))[1] AS kill,
     {_any(rules.roles)} AS role_match,
-    {_any(sql)} AS group_sql,
-    {_any(python)} AS group_python,
-    {_any(quality)} AS group_data_quality,
-    list_transform(list_filter({_list(generic)}, lambda n: contains(t, n))[1:4],
+    {_any(rules.sql)} AS group_sql,
+    {_any(rules.python)} AS group_python,
+    {_any(rules.quality)} AS group_data_quality,
+    list_transform(list_filter({_list(rules.generic)}, lambda n: contains(t, n))[1:4],
                    lambda n: n || ':+3') AS generics,
     coalesce(remote, false) AS remote_boost,
-    {_any(rules.senior_markers)} AS senior_penalty
+    {_any(rules.senior)} AS senior_penalty
   FROM posts
 )"""
 
 
-def _scored(rules: RuleSet) -> str:
+def _scored(rules: Words) -> str:
     w = {
         key: int(rules.weights.get(key, default))
         for key, default in (
@@ -233,11 +273,11 @@ _TEXT = """printf('[%3d] %s', score, title) || chr(10)
 
 _KEYS = "l_orderkey, l_linenumber, url"
 
-_OFFER_HITS = _with(OFFERS, _hits(OFFER_RULES))
-_OFFER_SCORES = _with(OFFERS, _scored(OFFER_RULES))
-_OFFER_FIRST = _with(OFFERS, _scored(OFFER_RULES), FIRST)
-_OFFER_ALERTS = _with(OFFERS, _scored(OFFER_RULES), FIRST, ALERTED)
-_DOCUMENT_SCORES = _with(DOCUMENTS, _scored(DOCUMENT_RULES))
+_OFFER_HITS = _with(OFFERS, _hits(OFFER_WORDS))
+_OFFER_SCORES = _with(OFFERS, _scored(OFFER_WORDS))
+_OFFER_FIRST = _with(OFFERS, _scored(OFFER_WORDS), FIRST)
+_OFFER_ALERTS = _with(OFFERS, _scored(OFFER_WORDS), FIRST, ALERTED)
+_DOCUMENT_SCORES = _with(DOCUMENTS, _scored(DOCUMENT_WORDS))
 _EVENT_STATE = _with(EVENTS, EVENT_STATE)
 _PAGES = _with(PAGES)
 
@@ -249,6 +289,25 @@ def oracle_sql() -> dict[str, str]:
         "run_once": _OFFER_ALERTS
         + "SELECT route, fingerprint, score, title, company, location, remote, url, reasons,"
         + f" {_TEXT} AS text FROM chosen",
+        "run_feed": _with(PAGES, FEED, _scored(PAGE_WORDS))
+        + f""", ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY landed_pos, pos) AS nth FROM listed
+),
+new AS (
+  SELECT * FROM ranked WHERE nth = 1 AND score >= {DIGEST}
+    AND fingerprint NOT IN (SELECT fingerprint FROM listed WHERE starts_with(source, 'blog.'))
+),
+chosen AS (
+  SELECT 'instant' AS route, * FROM new WHERE score >= {INSTANT}
+  UNION ALL SELECT 'digest', * FROM
+    (SELECT * FROM new WHERE score < {INSTANT} ORDER BY landed_pos, pos LIMIT {CAP})
+)
+SELECT route, fingerprint, score, title, company, location, remote, url, source, reasons,
+  {_TEXT} AS text FROM chosen""",
+        "long_lists": _with(OFFERS, _scored(LONG_WORDS)) + f"SELECT {_KEYS}, score, reasons FROM listed",
+        "landed_lines": _PAGES
+        + "SELECT token, pos::INTEGER AS pos, url AS absolute_url FROM job"
+        + " WHERE token IN (SELECT token FROM board)",
         "run_replay": _EVENT_STATE
         + f""", routed AS (
   SELECT fingerprint, first_score, row_number() OVER (
@@ -265,14 +324,14 @@ FROM state""",
         "role_match": _OFFER_HITS + f"SELECT {_KEYS}, role_match FROM hits",
         "skill_groups": _OFFER_HITS
         + f"SELECT {_KEYS}, group_sql, group_python, group_data_quality FROM hits",
-        "capped_bump": _with(DOCUMENTS, _hits(DOCUMENT_RULES))
+        "capped_bump": _with(DOCUMENTS, _hits(DOCUMENT_WORDS))
         + "SELECT doc_id, array_to_string(generics, '|') AS generic,"
         + " (3 * len(generics))::INTEGER AS points FROM hits",
         "remote_boost": _OFFER_HITS + f"SELECT {_KEYS}, remote, remote_boost FROM hits",
         "senior_penalty": _OFFER_HITS + f"SELECT {_KEYS}, senior_penalty FROM hits",
         "reasons": _OFFER_SCORES + f"SELECT {_KEYS}, reasons FROM listed",
         "score_default": _OFFER_SCORES + f"SELECT {_KEYS}, score FROM listed",
-        "score_weighted": _with(OFFERS, _scored(WEIGHTED_RULES))
+        "score_weighted": _with(OFFERS, _scored(WEIGHTED_WORDS))
         + f"SELECT {_KEYS}, score, reasons FROM listed",
         "score_documents": _DOCUMENT_SCORES
         + "SELECT doc_id, fingerprint, score, reasons FROM listed",
@@ -289,9 +348,12 @@ GROUP BY fingerprint""",
   SELECT bool_or(s.batch_id - CASE WHEN s.company = 'view' THEN 1 ELSE 0 END >= state.first_batch)
   FROM sightings s WHERE s.fingerprint = state.fingerprint AND s.score >= 85), false) AS notified
 FROM state""",
-        "seen_unique": _with(EVENTS)
-        + "SELECT count(DISTINCT fingerprint) AS n_fingerprints, 0::BIGINT AS n_repeated"
-        + " FROM sightings",
+        "seen_unique": _EVENT_STATE
+        + """, keys AS (
+  SELECT 'sightings' AS part, fingerprint FROM sightings UNION ALL SELECT 'state', fingerprint FROM state
+), counts AS (SELECT part, fingerprint, count(*) AS n FROM keys GROUP BY part, fingerprint)
+SELECT part, sum(n)::BIGINT AS n_rows, count(*) FILTER (n > 1) AS n_repeated,
+       CASE WHEN max(n) > 1 THEN max(n) ELSE 0 END AS most FROM counts GROUP BY part""",
         "seen_top20": _OFFER_FIRST
         + "SELECT last_score AS score, company, title, source, fingerprint FROM fresh"
         + " ORDER BY last_score DESC, fingerprint LIMIT 20",

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.catalog import views
-from sift.catalog.views import DOCUMENT_RULES, OFFER_RULES, PAGE_BOARDS, THRESHOLDS, WEIGHTED_RULES
+from sift.catalog.views import (
+    DOCUMENT_RULES,
+    LONG_RULES,
+    OFFER_RULES,
+    PAGE_BOARDS,
+    PAGE_RULES,
+    THRESHOLDS,
+    WEIGHTED_RULES,
+)
 from sift.functions.text import fingerprint
 from sift.functions.times import parse_utc
 from sift.operators import dedup, mapping, report, routing, scoring
 from sift.params import RuleSet
 from sift.plans import replay
 from sift.schema import ALERT_FIELDS
-from sift.session import configure
+from sift.session import configure, shared_folder
 from sift.sources import boards, collect, payloads
 from sift.state.seen import (
     STATE_COLUMNS,
@@ -154,11 +165,22 @@ def mark_notified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seen_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = merge_states([_event_states(spark, sf_dir)])
-    counts = state.groupBy("fingerprint").agg(F.count("*").alias("n"))
-    return counts.agg(
-        F.count("*").alias("n_fingerprints"),
+    """Keys that occur more than once: in the raw sightings, and in the merged state."""
+    sightings = views.event_sightings(spark, sf_dir).select("fingerprint")
+    state = merge_states([_event_states(spark, sf_dir)]).select("fingerprint")
+    parts = [
+        part.select(F.lit(name).alias("part"), F.lit(0).cast("bigint").alias("n"), "*")
+        for name, part in (("sightings", sightings), ("state", state))
+    ]
+    repeated = [
+        dedup.duplicate_keys(part).select(F.lit(name).alias("part"), "n", "fingerprint")
+        for name, part in (("sightings", sightings), ("state", state))
+    ]
+    rows = reduce(DataFrame.unionByName, [*parts, *repeated])
+    return rows.groupBy("part").agg(
+        F.count_if(F.col("n") == 0).alias("n_rows"),
         F.count_if(F.col("n") > 1).alias("n_repeated"),
+        F.max("n").alias("most"),
     )
 
 
@@ -219,6 +241,45 @@ def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship, from landed bodies to alerts: pages of blogs were a run before.
+
+    Bodies are parsed, mapped, freed of failing sources and scored; repeats and what
+    the earlier run has seen are left out; the rest is routed and formatted.
+    """
+    posts = collect.isolate_sources(_isolated_pages(spark, sf_dir))
+    scored = scoring.score(posts, PAGE_RULES)
+    summary = dedup.batch_summary(scored, ALERT_FIELDS).withColumnRenamed("first_score", "score")
+    earlier = sighting_states(
+        dedup.batch_summary(scored.where(F.col("source").startswith("blog.")), ALERT_FIELDS)
+        .withColumns({"now": F.current_timestamp(), "batch_id": F.lit(0).cast("bigint")})
+    )
+    candidates = summary.where(F.col("score") >= min(THRESHOLDS.digest, THRESHOLDS.instant))
+    new = dedup.not_known(candidates, merge_states([earlier]))
+    chosen = routing.alerted(routing.route(new, THRESHOLDS), THRESHOLDS)
+    return chosen.select(
+        "route", "fingerprint", "score", "title", "company", "location", "remote", "url", "source",
+        _joined("reasons"), routing.format_alert().alias("text"),
+    )
+
+
+def long_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers scored by hundreds of words that only part names ever hold."""
+    scored = scoring.score(views.offers(spark, sf_dir), LONG_RULES)
+    return scored.select(*OFFER_KEYS, "score", _joined("reasons"))
+
+
+def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages landed as JSON lines in board folders, and the jobs of configured boards."""
+    root = shared_folder(spark) or tempfile.mkdtemp(prefix="sift-")
+    path = f"{root.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    bodies = views.landed_pages(spark, sf_dir).select(F.col("payload").alias("value"), F.col("token").alias("board"))
+    bodies.write.partitionBy("board").text(path)
+    jobs = payloads.job_rows(payloads.read_payload_lines(spark, path, PAGE_BOARDS))
+    url = F.try_variant_get("job", "$.absolute_url", "string")
+    return jobs.select("token", "pos", url.alias("absolute_url"))
+
+
 def run_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All batches of the event table, their alerts and the state they leave."""
     events = views.event_sightings(spark, sf_dir)
@@ -350,12 +411,15 @@ def source_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per host after isolation, zero for the hosts that failed."""
     mapped = _isolated_pages(spark, sf_dir)
-    return report.source_counts(collect.isolate_sources(mapped), mapped)
+    return report.source_counts(mapped)
 
 
 REGISTERED: dict[str, Query] = {
     "run_once": run_once,
+    "run_feed": run_feed,
     "run_replay": run_replay,
+    "long_lists": long_lists,
+    "landed_lines": landed_lines,
     "search_text": search_text,
     "fingerprint": fingerprints,
     "kill_list": kill_list,

@@ -48,6 +48,17 @@ DOCUMENT_RULES = RuleSet(
     roles=("license",), skills=("ment", "tion", "ung", "que", "des"), exclude=("token",)
 )
 
+PAGE_RULES = RuleSet(
+    roles=("the", "les", "der", "los"), skills=("ment", "tion", "ung", "des"), exclude=("que en",)
+)
+
+# Longer than any list that is unrolled; most words occur nowhere.
+LONG_RULES = RuleSet(
+    roles=tuple(f"role {n}" for n in range(300)) + ("data analyst",),
+    skills=tuple(f"skill {n}" for n in range(300)) + ("ring", "plate", "small", "large", "an"),
+    exclude=tuple(f"word {n}" for n in range(300)) + ("intern",),
+)
+
 THRESHOLDS = Thresholds()
 
 # One board is listed twice, and one never lands anything.

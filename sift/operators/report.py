@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sift.operators.mapping import has_required_fields
+
 
 def seen_top(state: DataFrame, n: int = 20) -> DataFrame:
     """Best scores first; the fingerprint settles ties."""
@@ -12,10 +14,15 @@ def seen_top(state: DataFrame, n: int = 20) -> DataFrame:
     return ordered.select("score", "company", "title", "source", "fingerprint")
 
 
-def source_counts(posts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows per listed source, zero for one that gave nothing."""
-    counts = posts.groupBy("source").agg(F.count("*").alias("n_posts"))
-    listed = sources.select("source").distinct().join(counts, "source", "left")
-    n_posts = F.coalesce(F.col("n_posts"), F.lit(0)).cast("bigint")
+def source_counts(mapped: DataFrame) -> DataFrame:
+    """Postings per source of ``map_jobs`` rows, zero for a source that holds a reject.
+
+    One reading of the feed and one shuffle, combined before it.
+    """
+    bad = F.col("reject").isNotNull()
+    counts = mapped.groupBy("source").agg(
+        F.count_if(bad).alias("n_bad"), F.count_if(~bad & has_required_fields()).alias("n_good")
+    )
+    n_posts = F.when(F.col("n_bad") > 0, F.lit(0)).otherwise(F.col("n_good")).cast("bigint")
     message = F.format_string("%s: %d posts", F.col("source"), n_posts)
-    return listed.select("source", n_posts.alias("n_posts"), message.alias("message"))
+    return counts.select("source", n_posts.alias("n_posts"), message.alias("message"))

@@ -8,7 +8,7 @@ weight fails before a job starts and not in the middle of one.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 # Separates reasons while they are assembled as one string.
@@ -50,18 +50,19 @@ DEFAULT_GROUPS = (
     SkillGroup("python", "skill_python", ("python",)),
     SkillGroup("data_quality", "skill_data_quality", ("data quality", "testing", "dq")),
 )
+INSTANT_SCORE, DIGEST_SCORE, DIGEST_ITEMS = 85, 70, 15
 # -----------------------------------------------------------------------------
 
 
-def normalise(keyword: str | None) -> str:
-    return (keyword or "").strip().lower()
-
-
 def _needles(keywords: Iterable[str | None]) -> tuple[str, ...]:
-    """Normalised keywords in their given order, blanks left out."""
+    """Keywords without outer white space, in lower case and their given order.
+
+    Null and blank ones are left out; they would occur in every text.
+    """
     if isinstance(keywords, str):
         raise TypeError("expected a list of keywords, got a single string")
-    found = tuple(n for n in map(normalise, keywords) if n)
+    trimmed = (keyword.strip() for keyword in keywords if keyword is not None)
+    found = tuple(word.lower() for word in trimmed if word != "")
     for needle in found:
         if REASON_SEPARATOR in needle:
             raise ValueError(f"keyword holds a control character: {needle!r}")
@@ -82,6 +83,8 @@ class RuleSet:
     def __post_init__(self) -> None:
         for name in ("roles", "skills", "exclude", "senior_markers"):
             object.__setattr__(self, name, _needles(getattr(self, name)))
+        groups = tuple(replace(group, needles=_needles(group.needles)) for group in self.groups)
+        object.__setattr__(self, "groups", groups)
         weights = {key: int(value) for key, value in dict(self.weights).items()}
         for key, value in weights.items():
             if abs(value) >= 2**31:
@@ -105,9 +108,9 @@ class RuleSet:
 
 @dataclass(frozen=True)
 class Thresholds:
-    instant: int = 85
-    digest: int = 70
-    digest_max_items: int = 15
+    instant: int = INSTANT_SCORE
+    digest: int = DIGEST_SCORE
+    digest_max_items: int = DIGEST_ITEMS
 
     def __post_init__(self) -> None:
         if self.digest_max_items < 0:

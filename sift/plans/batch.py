@@ -6,7 +6,7 @@ fingerprint to a log, which cuts the lineage; everything after it reads logs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -19,16 +19,12 @@ from sift.operators.scoring import score
 from sift.params import RuleSet, Thresholds
 from sift.plans.sink import write_alerts
 from sift.schema import ALERT_FIELDS
-from sift.sources.collect import DROP_SOURCE, QUARANTINE
+from sift.sources.collect import DROP_SOURCE, QUARANTINE, without_sources
 from sift.state.seen import SeenStore
 
 Scorer = Callable[[DataFrame], DataFrame]
 Sink = Callable[[DataFrame, int], None]
 
-# Stands before the source name in the key of a reject; no fingerprint holds it.
-_REJECT = "!"
-
-
 def keyword_scorer(rules: RuleSet) -> Scorer:
     return lambda posts: score(posts, rules)
 
@@ -50,20 +46,25 @@ def run_feed(
     """Process mapped rows, rejects among them, as one batch.
 
     Sources that hold a reject are left out without reading the feed twice: the
-    rejects travel through the same aggregation, folded to one row per source,
-    and the narrow result is filtered by them.
+    rejects travel through the same aggregation, under keys of their own, and the
+    narrow result is filtered by them. Under either handling the rejects are kept
+    with their reasons, the first of each reason and board and how often it came.
     """
-    if on_bad == QUARANTINE:
-        posts = mapped.where(F.col("reject").isNull() & has_required_fields())
-        return run_batch(posts, scorer, store, batch_id, now, thresholds, sink)
-    rejected = F.col("reject").isNotNull()
-    scored = scorer(mapped.where(rejected | has_required_fields()))
-    bad_key = F.concat(F.lit(_REJECT), F.col("source"))
-    keyed = scored.withColumn(KEY, F.when(rejected, bad_key).otherwise(F.col(KEY)))
-    collected = store.write_collected(batch_summary(keyed, ALERT_FIELDS), batch_id, now)
-    is_reject = F.col(KEY).startswith(_REJECT)
-    bad = collected.where(is_reject).select("source").distinct()
-    sound = collected.where(~is_reject).join(bad, "source", "left_anti")
+    if on_bad not in (DROP_SOURCE, QUARANTINE):
+        raise ValueError(f"unknown handling of bad rows: {on_bad}")
+    store.record(batch_id)
+    is_bad = F.col("reject").isNotNull()
+    scored = scorer(mapped.where(is_bad | has_required_fields()))
+    bad_key = F.struct("source", "company", "reject")
+    key = F.struct(F.when(~is_bad, F.col(KEY)).alias(KEY), F.when(is_bad, bad_key).alias("bad"))
+    summary = batch_summary(scored.withColumn(KEY, key), ALERT_FIELDS)
+    summary = summary.select(F.col(f"{KEY}.{KEY}").alias(KEY), F.col(f"{KEY}.bad.reject").alias("reject"), *summary.columns[1:])
+    collected = store.write_collected(summary, batch_id, now)
+    bad = collected.where(F.col("reject").isNotNull())
+    bad = store.write_rejects(bad.select("source", "company", "ingest_seq", "reject", "n_rows"), batch_id)
+    sound = collected.where(F.col("reject").isNull()).drop("reject")
+    if on_bad == DROP_SOURCE:
+        sound = without_sources(sound, bad.select("source").distinct())
     return _after_summary(sound, store, batch_id, now, thresholds, sink)
 
 
@@ -77,6 +78,7 @@ def run_batch(
     sink: Sink | None = None,
 ) -> DataFrame:
     """Process one batch of postings and return its alerted rows."""
+    store.record(batch_id)
     summary = batch_summary(scorer(posts), ALERT_FIELDS)
     return _after_summary(summary, store, batch_id, now, thresholds, sink)
 
@@ -108,8 +110,19 @@ def _after_summary(
     return chosen
 
 
-def batch_counts(store: SeenStore, batch_id: int) -> DataFrame:
-    """Postings per source that the batch took in, repeats included."""
-    counts = store.sightings_of(batch_id).groupBy("source").agg(F.sum("n_rows").alias("n_posts"))
+def batch_counts(store: SeenStore, batch_id: int, sources: Sequence[str] = ()) -> DataFrame:
+    """Postings per source that the batch took in, repeats included, and its rejects.
+
+    A source that failed, and one of ``sources`` that gave nothing, has a line with zero.
+    """
+    spark = store.spark
+    listed = spark.createDataFrame([(name,) for name in sources], "source string")
+    taken = store.sightings_of(batch_id).select("source", F.col("n_rows").alias("n_posts"), F.lit(0).alias("n_rejects"))
+    failed = store.rejects_of(batch_id).select("source", F.lit(0), "n_rows")
+    none = listed.select("source", F.lit(0), F.lit(0))
+    counts = taken.union(failed).union(none).groupBy("source").agg(
+        F.sum("n_posts").cast("bigint").alias("n_posts"), F.sum("n_rejects").cast("bigint").alias("n_rejects")
+    )
     message = F.format_string("%s: %d posts", F.col("source"), F.col("n_posts"))
-    return counts.withColumn("message", message)
+    failure = F.format_string(", %d rejects", F.col("n_rejects"))
+    return counts.withColumn("message", F.when(F.col("n_rejects") > 0, F.concat(message, failure)).otherwise(message))

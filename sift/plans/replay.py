@@ -16,6 +16,10 @@ from sift.operators.routing import DIGEST, INSTANT, route_name
 from sift.params import Thresholds
 
 
+#: One cutoff is about a hundred bytes; so many batches are broadcast at most.
+MAX_BROADCAST_BATCHES = 100_000
+
+
 def fold_batches(scored: DataFrame, keep: Sequence[str], order: str = "ingest_seq") -> DataFrame:
     """One row per fingerprint over all batches.
 
@@ -54,16 +58,23 @@ def digest_cutoffs(
 
 
 def with_alerts(
-    folded: DataFrame, thresholds: Thresholds, order: str = "ingest_seq"
+    folded: DataFrame,
+    thresholds: Thresholds,
+    order: str = "ingest_seq",
+    n_batches: int | None = None,
 ) -> DataFrame:
     """Add ``route``, and ``notified`` for the rows that were alerted.
 
-    The cutoffs hold one row per batch, so joining them moves no row of the
-    state unless there are very many batches. ``folded`` is read twice: give it
-    a written table when folding is the expensive part.
+    The cutoffs hold one row per batch. Where ``n_batches`` bounds them by
+    ``MAX_BROADCAST_BATCHES`` they are broadcast, so that no row of the state is shuffled
+    by its batch. ``folded`` is read twice: give it a written table when folding is
+    the expensive part.
     """
     routed = folded.withColumn("route", route_name(F.col("first_score"), thresholds))
-    joined = routed.join(digest_cutoffs(folded, thresholds, order), "first_batch", "left")
+    cutoffs = digest_cutoffs(folded, thresholds, order)
+    if n_batches is not None and n_batches <= MAX_BROADCAST_BATCHES:
+        cutoffs = F.broadcast(cutoffs)
+    joined = routed.join(cutoffs, "first_batch", "left")
     in_digest = (F.col("route") == DIGEST) & (F.col(order) <= F.col("_cutoff"))
     notified = F.coalesce((F.col("route") == INSTANT) | in_digest, F.lit(False))
     return joined.withColumn("notified", notified).drop("_cutoff")
@@ -72,5 +83,9 @@ def with_alerts(
 def replay_state(
     scored: DataFrame, thresholds: Thresholds, keep: Sequence[str], order: str = "ingest_seq"
 ) -> DataFrame:
-    """The seen state after all batches, with the notified flag."""
-    return with_alerts(fold_batches(scored, keep, order), thresholds, order)
+    """The seen state after all batches, with the notified flag.
+
+    The batches are counted first, from their column alone.
+    """
+    n_batches = scored.select("batch_id").distinct().count()
+    return with_alerts(fold_batches(scored, keep, order), thresholds, order, n_batches)

@@ -56,6 +56,21 @@ SIGHTING = T.StructType(
     ]
 )
 
+# A row that is no posting; what fails to be read has no place in a list.
+REJECT = T.StructType(
+    [
+        T.StructField("source", T.StringType()),
+        T.StructField("company", T.StringType()),
+        T.StructField("ingest_seq", INGEST_SEQ),
+        T.StructField("reject", T.StringType()),
+        T.StructField("n_rows", T.LongType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
+# What a batch brought: sightings, and rejects in their place.
+COLLECTED = T.StructType([*SIGHTING[:-1], T.StructField("reject", T.StringType()), SIGHTING["batch_id"]])
+
 ROUTED = T.StructType(
     [
         T.StructField("route", T.StringType()),

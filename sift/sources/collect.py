@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +19,9 @@ from sift.sources.payloads import job_rows
 
 log = logging.getLogger("sift")
 
+#: Names of sources up to so many, a few megabytes, are broadcast.
+MAX_BROADCAST_SOURCES = 100_000
+
 DROP_SOURCE = "drop_source"
 QUARANTINE = "quarantine"
 
@@ -58,20 +60,31 @@ def load_sources(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     for source_ord, source in enumerate(sources):
         try:
             batches.append(source.load(spark, source_ord))
-        except PySparkException as error:
+        except Exception as error:  # whatever a source raises concerns that source only
             log.error("Collector %s failed: %s", source.name, error)
     if batches:
         return union_sources(batches)
     return spark.createDataFrame([], T.StructType([*POSTING, T.StructField("reject", T.StringType())]))
 
 
+def without_sources(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows of sources that are not in ``bad`` (one row per source).
+
+    The bad sources are counted; up to ``MAX_BROADCAST_SOURCES`` of them are broadcast,
+    so a feed with one source is never shuffled by its name.
+    """
+    if bad.count() <= MAX_BROADCAST_SOURCES:
+        bad = F.broadcast(bad)
+    return rows.join(bad, "source", "left_anti").select(*rows.columns)
+
+
 def isolate_sources(mapped: DataFrame, on_bad: str = DROP_SOURCE) -> DataFrame:
     """Postings of sound sources.
 
     ``drop_source`` leaves out every row of a source that has one reject;
     ``quarantine`` leaves out the rejects only. The bad sources are found with a
     map-side distinct, so what reaches the join is one row per source at most.
-    Finding them reads the feed a second time; ``plans.batch.run_feed`` gets by
+    Finding and counting them reads the feed again; ``plans.batch.run_feed`` gets by
     with one reading.
     """
     good = mapping.postings(mapped)
@@ -80,4 +93,4 @@ def isolate_sources(mapped: DataFrame, on_bad: str = DROP_SOURCE) -> DataFrame:
     if on_bad != DROP_SOURCE:
         raise ValueError(f"unknown handling of bad rows: {on_bad}")
     bad = mapped.where(F.col("reject").isNotNull()).select("source").distinct()
-    return good.join(bad, "source", "left_anti").select(*good.columns)
+    return without_sources(good, bad)

@@ -1,17 +1,20 @@
 """What was seen before, kept in append-only Parquet logs.
 
     <root>/collected/batch_id=N   what batch N brought, with its bad sources
+    <root>/rejects/batch_id=N     rows of batch N that are no postings, and why
     <root>/sightings/batch_id=N   one row per fingerprint of batch N
     <root>/routed/batch_id=N      the new rows of batch N that have a route
     <root>/notified/batch_id=N    fingerprints alerted by batch N
     <root>/base_<K>               the merged state up to batch K, bucketed by key
     <root>/merges                 which base tables are complete
-    <root>/batches                which batch id a stream's own batch was given
+    <root>/batches                every batch id given out, and the stream's batch it is for
 
 A batch only ever writes its own folders and only ever reads those of earlier
-batches. A replay therefore overwrites what the first try left and comes to the
-same result, and a batch that broke off half way is invisible to its successors'
-reads until it is run again. One run at a time may write to a store.
+batches. Running one batch id again therefore overwrites what the first try left
+and comes to the same result. A batch is remembered as soon as its sightings are
+written: if it breaks off after that, later batches take its postings as known, and
+they are alerted only when the same batch id is run again. One run at a time may
+write to a store.
 """
 
 from __future__ import annotations
@@ -21,11 +24,15 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sift.operators.dedup import not_known, not_known_small
-from sift.schema import NOTIFIED, ROUTED, SIGHTING, STATE
+from sift.schema import COLLECTED, NOTIFIED, REJECT, ROUTED, SIGHTING, STATE
 
-_LOGS = {"collected": SIGHTING, "sightings": SIGHTING, "routed": ROUTED, "notified": NOTIFIED}
+_LOGS = {
+    "collected": COLLECTED, "rejects": REJECT, "sightings": SIGHTING, "routed": ROUTED,
+    "notified": NOTIFIED,
+}
 _MERGES = "upto bigint, buckets int"
 _BATCHES = "feed string, feed_batch bigint, batch_id bigint"
 
@@ -71,7 +78,10 @@ class SeenStore:
         return rows
 
     def _of(self, name: str, batch_id: int) -> DataFrame:
-        return self._log(name).where(F.col("batch_id") == batch_id)
+        """One batch of a log, found by its path: the folders of others are not listed."""
+        columns = [f for f in _LOGS[name] if f.name != "batch_id"]
+        rows = self.spark.read.schema(StructType(columns)).parquet(self._path(name, batch_id))
+        return rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
 
     def _write(self, rows: DataFrame, name: str, batch_id: int) -> None:
         columns = [c for c in _LOGS[name].fieldNames() if c != "batch_id"]
@@ -80,13 +90,23 @@ class SeenStore:
     # ---- batch ids --------------------------------------------------------------
 
     def next_batch_id(self) -> int:
-        """One past every batch id in use; for runs started by hand."""
-        used = self._log("sightings").select("batch_id").unionByName(
-            self._batches().select("batch_id")
-        )
-        newest = used.agg(F.max("batch_id")).first()[0]
+        """One past every batch id given out; for runs started by hand.
+
+        Every run records its id before it writes anything, so a batch that left no
+        posting behind still has its number.
+        """
+        newest = self._batches().agg(F.max("batch_id")).first()[0]
         return 0 if newest is None else newest + 1
 
+    def record(self, batch_id: int) -> None:
+        """Note that a batch id is taken; doing so again changes nothing."""
+        if self._batches().where(F.col("batch_id") == batch_id).isEmpty():
+            self._give(None, None, batch_id)
+
+    def _give(self, feed: str | None, feed_batch: int | None, batch_id: int) -> None:
+        entry = self.spark.createDataFrame([(feed, feed_batch, batch_id)], _BATCHES)
+        entry.coalesce(1).write.mode("append").parquet(self._path("batches"))
+
     def batch_id_for(self, feed: str, feed_batch: int) -> int:
         """The batch id of a stream's batch: a new one, or that of its first try."""
         given = self._batches().where(
@@ -96,8 +116,7 @@ class SeenStore:
         if row.batch_id is not None:
             return row.batch_id
         batch_id = self.next_batch_id()
-        entry = self.spark.createDataFrame([(feed, feed_batch, batch_id)], _BATCHES)
-        entry.write.mode("append").parquet(self._path("batches"))
+        self._give(feed, feed_batch, batch_id)
         return batch_id
 
     def _batches(self) -> DataFrame:
@@ -109,6 +128,14 @@ class SeenStore:
         self._write(summary.withColumn("now", F.lit(now)), "collected", batch_id)
         return self._of("collected", batch_id)
 
+    def write_rejects(self, rejects: DataFrame, batch_id: int) -> DataFrame:
+        self._write(rejects, "rejects", batch_id)
+        return self._of("rejects", batch_id)
+
+    def rejects_of(self, batch_id: int) -> DataFrame:
+        """Rejects of a batch; none for one that was given postings only."""
+        return self._log("rejects").where(F.col("batch_id") == batch_id)
+
     def write_sightings(self, summary: DataFrame, batch_id: int, now: datetime) -> DataFrame:
         """Remember the batch. This is its commit."""
         self._write(summary.withColumn("now", F.lit(now)), "sightings", batch_id)
@@ -158,16 +185,48 @@ class SeenStore:
         Later batches then join with it without moving it. The rows are brought
         into their buckets by the shuffle that merges them, so each bucket is one
         file; choose the number of buckets for about a gigabyte of keys each. A
-        replay of a batch
-        at or below ``upto`` still sees the right past: only tables merged
-        before that batch are used.
+        replay of a batch at or below ``upto`` still sees the right past: only tables
+        merged before that batch are used. Merging up to the same batch again does
+        nothing.
         """
+        done = self.spark.read.schema(_MERGES).parquet(self._path("merges"))
+        if not done.where(F.col("upto") == upto).isEmpty():
+            return
         merged = self._merged(upto + 1, self.buckets)
         writer = merged.write.format("parquet").mode("overwrite")
         writer = writer.bucketBy(self.buckets, "fingerprint").sortBy("fingerprint")
         writer.option("path", f"{self.root}/base_{upto}").saveAsTable(self._table(upto))
         done = self.spark.createDataFrame([(upto, self.buckets)], _MERGES)
-        done.write.mode("append").parquet(self._path("merges"))
+        done.coalesce(1).write.mode("append").parquet(self._path("merges"))
+
+    def expire(self, upto: int) -> None:
+        """Delete what the newest table merged at or below ``upto`` has taken in.
+
+        Older tables go, and the logs of the batches in it; so listings stay short.
+        Those batches cannot be run again.
+        """
+        _, last = self._base(upto + 1)
+        if last is None:
+            return
+        merges = self.spark.read.schema(_MERGES).parquet(self._path("merges"))
+        older = [row.upto for row in merges.where(F.col("upto") < last).collect()]
+        for n in older:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(n)}")
+            self._delete(f"{self.root}/base_{n}")
+        for name in _LOGS:
+            for folder in self._batch_folders(name):
+                if int(folder.rpartition("=")[2]) <= last:
+                    self._delete(folder)
+
+    def _batch_folders(self, name: str) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(where)
+        paths = [str(s.getPath().toString()) for s in found]
+        return [p for p in paths if p.rpartition("/")[2].startswith("batch_id=")]
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def _table(self, upto: int) -> str:
         place = hashlib.sha256(self.root.encode()).hexdigest()[:16]
@@ -187,11 +246,16 @@ class SeenStore:
             self.spark.sql(
                 f"CREATE TABLE {name} ({columns}) USING parquet"
                 f" CLUSTERED BY (fingerprint) SORTED BY (fingerprint)"
-                f" INTO {newest.buckets} BUCKETS LOCATION '{self.root}/base_{newest.upto}'"
+                f" INTO {newest.buckets} BUCKETS LOCATION {_quoted(f'{self.root}/base_{newest.upto}')}"
             )
         return self.spark.table(name), newest.upto
 
 
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def sighting_states(sightings: DataFrame) -> DataFrame:
     """Each sighting as a state of its own, ready to be merged."""
     return sightings.select(

@@ -32,11 +32,13 @@ def start_feed(
     clock: Callable[[int], datetime] = _utc_now,
     on_bad: str = DROP_SOURCE,
     source: str = DEFAULT_SOURCE,
-    max_files: int = 1000,
+    max_files: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Run every micro-batch of landed files through ``run_feed``.
 
+    Everything that has landed is one batch, unless ``max_files`` cuts it into several;
+    each of them is then a run of its own, with its own digest cap.
     A micro-batch that is tried again is given the batch id of its first try and
     so overwrites its own traces; streams and runs by hand can share a store. The
     checkpoint folder is the name of the feed. The default trigger takes what has landed and stops.

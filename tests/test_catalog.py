@@ -5,9 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as spark_entry
+from sift.catalog import oracles, queries
 from tools.compare import compare, connect
 
-NAMES = sorted(spark_entry.queries())
+# Other parts of the library test their own queries.
+NAMES = sorted(queries.queries())
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,8 @@ def con():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(NAMES) == set(oracles.oracle_sql())
+    assert set(NAMES) <= set(spark_entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sift.operators import mapping
 from sift.params import Board
-from sift.sources import collect
+from sift.sources import collect, payloads
 from sift.sources.boards import boards_frame, join_boards, with_ingest_seq
 from sift.sources.payloads import job_rows
 
@@ -115,7 +115,14 @@ def test_wrong_types_are_rejects(mapped):
     assert collect.isolate_sources(rows, collect.QUARANTINE).count() == 1
 
 
-def test_bodies_without_jobs(mapped):
+@pytest.fixture(params=["as one variant", "member by member"])
+def reader(request, monkeypatch):
+    """Both ways a body may be read; the second takes over for very large ones."""
+    if request.param != "as one variant":
+        monkeypatch.setattr(payloads, "parsed_body", lambda wrapped: F.lit(None).cast("variant"))
+
+
+def test_bodies_without_jobs(mapped, reader):
     empty = ["{}", '{"jobs": []}', '{"jobs": {}}', '{"jobs": ""}', ' {"other": 1}\n']
     bad = [
         "", "nope", "[]", "null", "5", '"x"', '{"jobs": null}', '{"jobs": 3}', '{"jobs": "x"}',
@@ -128,6 +135,35 @@ def test_bodies_without_jobs(mapped):
     assert by_body(mapping.rejects(rows)) == list(range(len(empty), last))
 
 
+def test_both_readers_give_the_same_rows(spark, landed, monkeypatch):
+    bodies = [
+        {"jobs": [job(), 5, None, [1], job(title=3), job(location=["x"]), {}]}, {"jobs": []}, {"other": 1}, "[]",
+        '{"jobs": null}', "nope", {"jobs": [{"title": "a 'b'", "absolute_url": "u", "content": {"description": "é"}}]},
+    ]
+    columns = ("landed_pos", "pos", "payload_reject")
+
+    def rows():
+        opened = job_rows(landed(*bodies))
+        return sorted(map(str, opened.select(*columns, F.to_json("job").alias("job")).collect()))
+
+    first = rows()
+    monkeypatch.setattr(payloads, "parsed_body", lambda wrapped: F.lit(None).cast("variant"))
+    assert rows() == first
+
+
+def test_a_job_too_large_is_one_reject(spark, landed, monkeypatch):
+    body = landed({"jobs": [job(), {"title": "big"}, job()]})
+    monkeypatch.setattr(payloads, "parsed_body", lambda wrapped: F.lit(None).cast("variant"))
+    real = F.try_parse_json
+    too_large = lambda text: F.when(~F.contains(text, F.lit("big")), real(text))
+    monkeypatch.setattr(payloads.F, "try_parse_json", too_large)
+    monkeypatch.setattr(payloads, "LARGE_JOB", 10)
+    # What the reader of whole bodies gives for one with a job that is too large.
+    monkeypatch.setattr(payloads, "body_variants", lambda wrapped: F.lit(None).cast("array<variant>"))
+    rows = job_rows(body).select("pos", "payload_reject").orderBy("pos").collect()
+    assert [tuple(r) for r in rows] == [(0, None), (1, payloads.TOO_LARGE), (2, None)]
+
+
 def test_repeated_members_keep_the_last_value(mapped):
     body = '{"jobs": [], "jobs": [{"title": "a", "title": "b", "absolute_url": "u"}]}'
     assert one(mapping.postings(mapped(body))).title == "b"
@@ -168,13 +204,17 @@ def test_source_that_cannot_be_planned_is_left_out(spark, landed):
         return session.read.parquet("/nowhere/at/all")
 
     boards = (Board("acme"),)
+    def raising(session):
+        raise RuntimeError("no connection")
+
     sources = [
         collect.board_source(missing, boards, "broken"),
+        collect.board_source(raising, boards, "raising"),
         collect.board_source(lambda _: landed({"jobs": [job()]}), boards, "sound"),
     ]
     rows = collect.load_sources(spark, sources).collect()
-    assert [(r.source, r.ingest_seq.source_ord) for r in rows] == [("sound", 1)]
-    assert collect.load_sources(spark, sources[:1]).count() == 0
+    assert [(r.source, r.ingest_seq.source_ord) for r in rows] == [("sound", 2)]
+    assert collect.load_sources(spark, sources[:2]).count() == 0
 
 
 def test_mapping_needs_no_shuffle_and_no_python(spark, landed):

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from sift.params import Board, RuleSet, Settings, Thresholds
+from sift.params import Board, RuleSet, Settings, SkillGroup, Thresholds
 
 
 def test_settings_from_an_empty_mapping_are_the_defaults():
@@ -40,3 +40,8 @@ def test_company_name_defaults_to_the_token():
 def test_negative_cap_is_refused():
     with pytest.raises(ValueError):
         Thresholds(digest_max_items=-1)
+
+
+def test_group_needles_are_normalised():
+    rules = RuleSet(skills=("SQL", "dbt"), groups=(SkillGroup("sql", "skill_sql", (" SQL ", "")),))
+    assert rules.groups[0].needles == ("sql",) and rules.generic_skills == ("dbt",)

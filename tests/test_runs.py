@@ -7,14 +7,15 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from sift.catalog import queries as spark_queries
 from sift.catalog import views
 from sift.operators import dedup
 from sift.operators.routing import alert_lines, alerted, in_printing_order
 from sift.params import Board, RuleSet, Thresholds
 from sift.plans import replay
 from sift.plans.batch import batch_counts, keyword_scorer, run_batch, run_feed, text_sink
-from sift.sources.collect import QUARANTINE, board_source, isolate_sources
-from sift.sources.payloads import read_payload_files
+from sift.sources.collect import DROP_SOURCE, QUARANTINE, board_source, isolate_sources
+from sift.sources.payloads import read_payload_files, read_payload_lines
 from sift.operators import mapping
 from sift.state.seen import SeenStore
 from sift.streaming.feed import start_feed
@@ -121,6 +122,32 @@ def test_batch_ids_are_kept_apart(letters, store):
     assert [store.batch_id_for("x", n) for n in (0, 1, 2)] == [0, 1, 3]
 
 
+def test_compaction_can_be_repeated(spark, letters, store, tmp_path):
+    expected = {}
+    for n in (1, 2):
+        run_golden(letters, store, n, tmp_path)
+        expected.update(GOLDEN[n - 1][3])
+        store.compact(n)
+        store.compact(n)
+        assert state_of(store) == expected
+    # A run that brings nothing, and merges again.
+    run_golden(letters, store, 6, tmp_path)
+    for _ in range(2):
+        store.compact(6)
+    store.expire(6)
+    assert state_of(store) == expected
+    assert store._batch_folders("sightings") == [] and not (tmp_path / "seen" / "base_2").exists()
+    assert state_of(SeenStore(spark, store.root, buckets=4)) == expected
+
+
+def test_a_path_with_a_quote(spark, letters, tmp_path):
+    store = SeenStore(spark, str(tmp_path / "it's"), buckets=2)
+    run_golden(letters, store, 1, tmp_path)
+    store.compact(1)
+    spark.sql(f"DROP TABLE {store._table(1)}")
+    assert state_of(store) == GOLDEN[0][3]
+
+
 def test_state_before_a_batch(letters, store, tmp_path):
     for n in (1, 2):
         run_golden(letters, store, n, tmp_path)
@@ -291,6 +318,62 @@ def test_stream_and_batch_agree(spark, landing, store, tmp_path):
     assert counts == {"greenhouse": 2}
 
 
+@pytest.mark.parametrize("on_bad", [DROP_SOURCE, QUARANTINE])
+def test_many_files_are_one_run_on_both_paths(spark, landing, tmp_path, on_bad):
+    """More files than a batch used to take, a bad body among them, and a cap of one."""
+    bodies = {f"one_{n:04}": body(f"Data Analyst {n}") for n in range(8)} | {"two_0": "nope"}
+    path, limits = landing(**bodies), Thresholds(85, 70, 1)
+    scorer = keyword_scorer(RULES)
+    first, second = (SeenStore(spark, str(tmp_path / name)) for name in ("first", "second"))
+    sink = text_sink(str(tmp_path / "alerts"), limits)
+    options = {"checkpoint": str(tmp_path / "cp"), "clock": clock, "sink": sink, "on_bad": on_bad}
+    start_feed(spark, path, BOARDS, scorer, first, limits, **options).awaitTermination()
+    by_hand = text_sink(str(tmp_path / "by_hand"), limits)
+    run_feed(feed(spark, path), scorer, second, 0, clock(0), limits, by_hand, on_bad)
+    assert sorted(first.state().collect()) == sorted(second.state().collect())
+    n_kept = 8 if on_bad == QUARANTINE else 0
+    assert first.state().count() == n_kept
+    alerts = text_of(tmp_path / "alerts" / "batch_id=0")
+    assert alerts == text_of(tmp_path / "by_hand" / "batch_id=0") and alerts.count("[ 70]") == min(1, n_kept)
+    # What failed has left a trace and a line in the counts.
+    (reject,) = first.rejects_of(0).collect()
+    assert (reject.source, reject.reject, reject.n_rows) == ("greenhouse", "body is not valid JSON", 1)
+    lines = [r.message for r in batch_counts(first, 0, ["greenhouse", "idle"]).orderBy("source").collect()]
+    assert lines == [f"greenhouse: {n_kept} posts, 1 rejects", "idle: 0 posts"]
+    # The number of a batch that was dropped whole is not given out again.
+    assert first.next_batch_id() == second.next_batch_id() == 1
+
+
+def test_folders_of_other_boards_are_pruned(spark, landing):
+    path = landing(one_a=body("Data Analyst"), other_a=body("Data Analyst"))
+    read = read_payload_files(spark, path, BOARDS)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [board" in plan
+    assert [r.token for r in read.collect()] == ["one"]
+
+
+def test_bodies_as_lines(spark, landing):
+    path = landing(one_a="\n".join([body("Data Analyst"), "", body("cook", "baker"), "nope"]))
+    rows = read_payload_lines(spark, path, BOARDS).orderBy("landed_pos").collect()
+    assert [r.payload for r in rows] == [body("Data Analyst"), body("cook", "baker"), "nope"]
+    mapped = board_source(lambda s: read_payload_lines(s, path), BOARDS).load(spark, 0)
+    assert [r.reject for r in mapped.orderBy("ingest_seq").collect()] == [None, None, None, "body is not valid JSON"]
+
+
+@pytest.mark.parametrize("threshold", ["1024"])
+def test_no_feed_is_shuffled_by_its_source_or_batch(spark, sf_small, landing, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        plans = [
+            spark_queries.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+            for name in ("source_isolation", "run_replay")
+        ]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [source" not in plans[0] and "SortMergeJoin [first_batch" not in plans[1]
+    assert all("BroadcastHashJoin" in plan for plan in plans)
+
+
 def test_a_reject_drops_its_source_only(spark, landing, store):
     bad = json.dumps({"jobs": [{"title": "Data Analyst", "absolute_url": "u"}, {"title": 5}]})
     path = landing(one_a=body("Data Analyst"), two_a=bad)
