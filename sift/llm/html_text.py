@@ -91,7 +91,7 @@ def lines_of(page: str) -> list[Line | None]:
             if not dead and not block_dead:
                 text = " ".join(references.unescape("".join(parts)).split())
                 if text:
-                    size = len("".join(references.unescape("".join(plain)).split()))
+                    size = len(" ".join(references.unescape("".join(plain)).split()))
                     lines.append(Line(text, size, stack[-1][2] if stack else 0, mains > 0))
             parts.clear()
             plain.clear()
@@ -175,11 +175,17 @@ def main_text(page: str) -> str:
         j = i
         while j < len(sums) and sums[j]:
             j += 1
-        if max(sums[i:j]) >= SURGE:
+        after = j
+        # A window begins before its text: lines of links at either end are not part of it.
+        while i < j and not sizes[i]:
+            i += 1
+        while i < j and not sizes[j - 1]:
+            j -= 1
+        if i < j and max(sums[i:j]) >= SURGE:
             kept[i:j] = [True] * (j - i)
         if sum(sizes[i:j]) > best_sum:
             best, best_sum = (i, j), sum(sizes[i:j])
-        i = j
+        i = after
     if not any(kept):
         kept[best[0] : best[1]] = [True] * (best[1] - best[0])
     # Short blocks of a section that surged belong to it, whatever lies between.

@@ -227,13 +227,13 @@ class Network:
         return np.concatenate([np.zeros(0, dtype=np.float32), *out])
 
     def scores(self, texts: Texts) -> np.ndarray:
-        """The probability of each text's highest window."""
+        """The probability of each text's highest window; 0 for a text without words."""
         inputs = word_inputs(texts)
         rows, doc = windows_of(inputs)
         logit = self.window_logits(inputs, rows)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, doc, logit)
-        return _sigmoid(best).astype(np.float64)
+        return np.where(np.diff(inputs.first) > 0, _sigmoid(best), 0.0)
 
 
 def train(texts: Texts, toxic: np.ndarray, seed: int = 11) -> Network:
@@ -311,8 +311,8 @@ def scored(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Data
     """For every row of ``docs``: ``row`` and ``score`` (0 to 1), from ``text`` alone.
 
     ``row`` holds the columns ``keep`` (all, if not given) as a struct, so their names
-    cannot clash. A null or empty text is one window without words; equal texts get
-    equal scores; an empty table gives no rows.
+    cannot clash. A null or empty text, and one without words, has score 0; equal texts
+    get equal scores; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(net.p)
 

@@ -99,6 +99,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     offsets = offsets[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+    data = data[: offsets[-1]]
     end = offsets[1:]
     if column.null_count:
         end = np.where(column.is_valid().to_numpy(zero_copy_only=False), end, offsets[:-1])
