@@ -19,8 +19,8 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     """
     spark = links.sparkSession
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(both.where("a <> b").distinct(), folder, "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), folder, "labels0")
+    both = stored(both.where("a <> b").distinct(), folder, "links", few=True)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), folder, "labels0", few=True)
     turn = 0
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
@@ -29,7 +29,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
         fresh = low.join(jump, "low").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("label")).alias("moved"))
         turn += 1
-        fresh = stored(fresh, folder, f"labels{turn}")
+        fresh = stored(fresh, folder, f"labels{turn}", few=True)
         moved = fresh.where("moved").limit(1).count()
         remove(spark, f"{folder}/labels{turn - 1}")
         labels = fresh.select("node", "label")

@@ -22,9 +22,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """``df`` written below ``folder`` and read back, which ends its lineage."""
+def stored(df: DataFrame, folder: str, name: str, few: bool = False) -> DataFrame:
+    """``df`` written below ``folder`` and read back, which ends its lineage.
+
+    ``few`` is for narrow tables: an eighth of the shuffle partitions write them, so a
+    small table is not thousands of files.
+    """
     path = f"{folder}/{name}"
+    if few:
+        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

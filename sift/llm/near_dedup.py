@@ -7,12 +7,11 @@ and documents that agree in a band meet in its bucket. There every member is
 compared with one centre only, so a bucket of m members gives m - 1 pairs.
 
 Documents with equal sets are one node, so thousands of copies cost one member.
-Round one takes the same centre in all bands, which makes its pairs coincide. Later
-rounds look only at buckets that still hold several components and take another
-centre in every band: two documents above the threshold share about half of 32
-buckets, and a pair is tested as soon as either is the centre in one of them. Rounds
-end when nothing is left to test, or after two that link nothing new. Every link is
-confirmed on the full sets.
+The first pass takes the same centre in all bands, which makes its pairs coincide.
+Later passes look only at buckets that still hold several components, and take other
+centres, three in every band: two documents above the threshold share about half of
+32 buckets, and a pair is tested as soon as either is a centre in one of them. Passes
+end when one joins no two components. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -31,7 +30,8 @@ from sift.llm.words import SPACES, Texts, chunks, mix, sequence_hash, split_word
 SHINGLE = 5
 BINS = 128
 ROWS = 4
-QUIET_ROUNDS = 2
+#: Centres of a bucket in every pass but the first.
+CENTRES = 3
 #: So many ids (16 MB) may be broadcast after they were counted; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -117,38 +117,39 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of texts, where they are the sets that were asked for."""
     for batch in batches:
-        for _, _, part in chunks(texts_of(batch.column(0))):
+        for lo, hi, part in chunks(texts_of(batch.column(1))):
+            asked = batch.column(0).slice(lo, hi - lo).to_pylist()
             sets = shingle_sets(part)
-            values = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]).view(np.int64)
-            lengths = np.array([len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(set_names(sets)), _nested(values, lengths)], names=["node", "items"])
+            right = [(name, own) for name, own, want in zip(set_names(sets), sets, asked) if name == want]
+            values = np.concatenate([*(own for _, own in right), np.zeros(0, dtype=np.uint64)]).view(np.int64)
+            lengths = np.array([len(own) for _, own in right], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([name for name, _ in right], pa.binary()), _nested(values, lengths)], names=["node", "items"])
 
 
-def _only(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is in ``keys``; few keys are broadcast, once counted."""
+def _joined(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
+    """A join on ``column``; few ``keys`` are broadcast, once counted."""
     if keys.count() <= BROADCAST_IDS:
         keys = F.broadcast(keys)
-    return df.join(keys, column, "left_semi")
+    return df.join(keys, column, how)
 
 
 def _candidates(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs of a member and its bucket's centre, where they are in different components."""
+    """Pairs ``a, b`` of a member and a centre of its bucket, where their labels differ."""
     if labels is None:
         member = buckets.withColumn("label", F.col("node"))
     else:
         member = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rank = F.xxhash64("node") if turn == 1 else F.xxhash64("node", "band", F.lit(turn))
+    ranks = [F.xxhash64("node")] if turn == 1 else [F.xxhash64("node", "band", F.lit(CENTRES * turn + k)) for k in range(CENTRES)]
+    one = F.struct("node", "doc_id", "n_shingles", "label")
     centre = member.groupBy("band").agg(
-        F.min(F.struct(rank.alias("rank"), "node", "n_shingles", "label")).alias("c"),
+        F.array(*(F.min(F.struct(rank.alias("rank"), one.alias("one"))) for rank in ranks)).alias("centres"),
         F.min("label").alias("low"), F.max("label").alias("high"),
     ).where("low <> high")
-    pair = member.join(centre, "band").where("label <> c.label")
-    pair = pair.select(
-        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"),
-        F.least("n_shingles", "c.n_shingles").alias("few"), F.greatest("n_shingles", "c.n_shingles").alias("many"),
-    )
-    return pair
+    pair = member.join(centre.select("band", "centres"), "band")
+    pair = pair.select(one.alias("x"), F.explode("centres.one").alias("y")).where("x.label <> y.label")
+    return pair.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,6 +160,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b")
 
 
+def merged(labels: DataFrame | None, links: DataFrame, folder: str, turn: int) -> DataFrame:
+    """The labels of all linked nodes, after new ``links`` (``a, b``) between components.
+
+    The links are first drawn between the labels, so that a late pass works on a graph
+    as small as what it has found.
+    """
+    if labels is None:
+        return components(links, f"{folder}/graph{turn}")
+    for end in ("a", "b"):
+        known = labels.withColumnRenamed("node", end)
+        links = links.join(known, end, "left").withColumn(end, F.coalesce("label", end)).select("a", "b")
+    fresh = components(links, f"{folder}/graph{turn}")
+    renamed = fresh.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    old = labels.join(renamed, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return frames.stored(old.unionByName(fresh.join(labels, "node", "left_anti")), folder, f"labels{turn}", few=True)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -178,44 +196,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = named.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
     )
-    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    nodes = frames.stored(nodes, folder, "nodes")
+    banded = nodes.select("node", "doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
-    buckets = frames.stored(banded.join(shared, "band", "left_semi"), folder, "buckets")
+    buckets = frames.stored(banded.join(shared, "band", "left_semi"), folder, "buckets", few=True)
 
-    tested, links, labels, turn, quiet = None, None, None, 0, 0
-    while quiet < QUIET_ROUNDS:
+    tested, labels, turn = None, None, 0
+    while True:
         turn += 1
-        pairs = _candidates(buckets, labels, turn).where(100 * F.col("few") >= percent * F.col("many"))
-        pairs = pairs.select("a", "b").distinct()
+        pairs = _candidates(buckets, labels, turn)
+        few, many = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
+        pairs = pairs.where(100 * few >= percent * many)
+        pairs = pairs.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.first("a.doc_id").alias("doc_a"), F.first("b.doc_id").alias("doc_b"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = frames.stored(pairs, folder, f"pairs{turn}")
+        pairs = frames.stored(pairs, folder, f"pairs{turn}", few=True)
         if pairs.isEmpty():
             break
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        ends = frames.stored(ends.join(nodes.select("node", "doc_id"), "node"), folder, f"ends{turn}")
-        own = _only(texts, ends.select("doc_id").distinct(), "doc_id").select("text")
-        sets = _only(own.mapInArrow(_full_sets, "node binary, items array<bigint>"), ends.select("node"), "node")
-        sets = frames.stored(sets.dropDuplicates(["node"]), folder, f"sets{turn}")
-        found = frames.stored(_confirmed(pairs, sets, percent), folder, f"found{turn}")
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc_id"), F.col("a").alias("node")), F.struct(F.col("doc_b").alias("doc_id"), F.col("b").alias("node")))).alias("e"))
+        ends = frames.stored(ends.select("e.*").distinct(), folder, f"ends{turn}", few=True)
+        asked = _joined(texts, ends, "doc_id", "inner").select("node", "text")
+        sets = frames.stored(asked.mapInArrow(_full_sets, "node binary, items array<bigint>"), folder, f"sets{turn}")
+        found = frames.stored(_confirmed(pairs, sets, percent), folder, f"found{turn}", few=True)
         frames.remove(spark, f"{folder}/sets{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
         if found.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        links = found if links is None else links.union(found)
-        labels = components(links, f"{folder}/graph{turn}")
+            break
+        pairs = pairs.select("a", "b")
+        tested = pairs if tested is None else tested.union(pairs)
+        labels = merged(labels, found, folder, turn)
 
     # Only classes of several documents need a join; every other row is its own class.
     grouped = nodes.select("node", "doc_id", "copies")
     if labels is not None:
         grouped = grouped.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("copies"))
+        least = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("copies")).where("copies > 1")
         grouped = grouped.select("node", "label").join(least, "label")
     else:
-        grouped = grouped.withColumnRenamed("doc_id", "component_id")
-    classes = frames.stored(grouped.where("copies > 1").select("node", "component_id"), folder, "classes")
+        grouped = grouped.withColumnRenamed("doc_id", "component_id").where("copies > 1")
+    classes = frames.stored(grouped.select("node", "component_id"), folder, "classes", few=True)
     out = sketch.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
@@ -232,9 +250,7 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     folder = frames.scratch(spark)
     found = frames.stored(near_duplicates(docs, percent).select("doc_id", "kept"), folder, "decisions")
     dropped = found.where("not kept").select("doc_id").distinct()
-    if dropped.count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    left = _joined(docs, dropped, "doc_id", "left_anti").select(docs.columns)
     repeated = frames.stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "repeated")
     if repeated.isEmpty():
         return left
