@@ -70,11 +70,12 @@ def load_sources(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
 def without_sources(rows: DataFrame, bad: DataFrame) -> DataFrame:
     """Rows of sources that are not in ``bad`` (one row per source).
 
-    The bad sources are counted; up to ``MAX_BROADCAST_SOURCES`` of them are broadcast,
-    so a feed with one source is never shuffled by its name.
+    Up to ``MAX_BROADCAST_SOURCES`` names are fetched and broadcast, so a feed with one
+    source is never shuffled by its name, and its bad sources are found once.
     """
-    if bad.count() <= MAX_BROADCAST_SOURCES:
-        bad = F.broadcast(bad)
+    names = bad.limit(MAX_BROADCAST_SOURCES + 1).collect()
+    if len(names) <= MAX_BROADCAST_SOURCES:
+        bad = F.broadcast(rows.sparkSession.createDataFrame(names, "source string"))
     return rows.join(bad, "source", "left_anti").select(*rows.columns)
 
 
@@ -84,7 +85,7 @@ def isolate_sources(mapped: DataFrame, on_bad: str = DROP_SOURCE) -> DataFrame:
     ``drop_source`` leaves out every row of a source that has one reject;
     ``quarantine`` leaves out the rejects only. The bad sources are found with a
     map-side distinct, so what reaches the join is one row per source at most.
-    Finding and counting them reads the feed again; ``plans.batch.run_feed`` gets by
+    Finding them reads the feed a second time; ``plans.batch.run_feed`` gets by
     with one reading.
     """
     good = mapping.postings(mapped)
