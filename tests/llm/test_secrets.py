@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from llm_cases import ODD, documents, rows  # noqa: F401
+from llm_cases import ODD, documents  # noqa: F401
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,7 +40,7 @@ def test_checksums_decide():
         assert find_secrets(f"{prefix}{wrong}{body[1:]}{checksum(body)}") == []
 
 
-def test_masking_and_odd_texts(documents, rows):
+def test_masking_and_odd_texts(documents):
     text = 'x token = "abcdefabcdef0123456789" y'
     assert masked(text, find_secrets(text)) == 'x [secret]" y'
     docs = documents(text, *ODD)
