@@ -18,8 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from sift.llm import frames
 from sift.llm.words import Texts, chunks, continuation_free, mix, span_hash, texts_of
 
 #: Matches up to so many bytes share forests; longer ones get a tree each.
@@ -336,8 +336,7 @@ def encoded(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFr
     """
     with open(path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    packed = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    row = packed.schema["row"].dataType.simpleString()
+    rows = frames.packed(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = parse_ranks(raw.value)
@@ -356,4 +355,4 @@ def encoded(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFr
                     names=["row", "ids", "decoded"],
                 )
 
-    return packed.mapInArrow(run, f"row {row}, ids array<int>, decoded binary")
+    return rows.mapInArrow(run, frames.with_row(rows, "ids array<int>, decoded binary"))

@@ -205,9 +205,8 @@ def contamination(docs: DataFrame, test: DataFrame, keep: list[str] | None = Non
     ``BLOCK_BYTES`` (one for any usual benchmark), one pass over the texts for each.
     """
     spark = docs.sparkSession
-    state = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    row = state.schema["row"].dataType.simpleString()
-    items = test.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text"))
+    state = frames.packed(docs, keep)
+    items = test.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + size // BLOCK_BYTES
     folder = frames.scratch(spark) if n_blocks > 1 else ""
@@ -215,7 +214,7 @@ def contamination(docs: DataFrame, test: DataFrame, keep: list[str] | None = Non
         rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == k).collect()
         tests = test_set([r["name"] for r in rows], pa.array([r["text"] for r in rows], pa.string()))
         last = k == n_blocks - 1
-        state = state.mapInArrow(_search(tests, last), f"row {row}, {FIELDS}" + ("" if last else ", text string, mask binary"))
+        state = state.mapInArrow(_search(tests, last), frames.with_row(state, FIELDS + ("" if last else ", text string, mask binary")))
         if not last:
             state = frames.stored(state, folder, f"block{k}")
     return state

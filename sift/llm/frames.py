@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sift.session import shared_folder
 
@@ -41,6 +42,21 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(df: DataFrame, keep: list[str] | None, text: str = "text") -> DataFrame:
+    """``row``, the columns ``keep`` (all, if not given) as a struct, and ``text`` as a string."""
+    row = F.struct(*(F.col(quoted(c)) for c in keep or df.columns))
+    return df.select(row.alias("row"), F.col(quoted(text)).cast("string").alias("text"))
+
+
+def with_row(rows: DataFrame, fields: str) -> StructType:
+    """The schema of ``row`` as it is in ``rows``, and of ``fields`` (DDL)."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(fields)])
+
+
 def annotated(df: DataFrame, keep: list[str], text: str, fn, fields: str) -> DataFrame:
     """``row`` (the columns ``keep`` as a struct) and what ``fn`` finds in each text.
 
@@ -50,8 +66,7 @@ def annotated(df: DataFrame, keep: list[str], text: str, fn, fields: str) -> Dat
     """
     from sift.llm.words import chunks, texts_of
 
-    packed = df.select(F.struct(*keep).alias("row"), F.col(text).cast("string").alias("text"))
-    row = packed.schema["row"].dataType.simpleString()
+    rows = packed(df, keep, text)
     names = ["row", *(f.split()[0] for f in fields.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,4 +74,4 @@ def annotated(df: DataFrame, keep: list[str], text: str, fn, fields: str) -> Dat
             for lo, hi, part in chunks(texts_of(batch.column(1))):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *fn(part)], names=names)
 
-    return packed.mapInArrow(run, f"row {row}, {fields}")
+    return rows.mapInArrow(run, with_row(rows, fields))

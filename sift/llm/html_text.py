@@ -17,8 +17,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from sift.llm import frames
 from sift.llm.words import chunks, texts_of
 
 #: Lines in a window, and the least text in a window where the main text surges.
@@ -200,8 +200,7 @@ def extracted(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     cannot clash. The text of a null or empty page, and of one without text, is empty;
     equal pages give equal texts; an empty table gives no rows.
     """
-    packed = pages.select(F.struct(*(keep or pages.columns)).alias("row"), F.col("html").cast("string").alias("html"))
-    row = packed.schema["row"].dataType.simpleString()
+    rows = frames.packed(pages, keep, "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,4 +208,4 @@ def extracted(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 texts = [main_text(p) if p else "" for p in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(texts, pa.string())], names=["row", "text"])
 
-    return packed.mapInArrow(run, f"row {row}, text string")
+    return rows.mapInArrow(run, frames.with_row(rows, "text string"))

@@ -25,6 +25,8 @@ SLOTS_LOG2 = 19
 HASHES = 3
 #: Labelled documents per language that the filters are learned from at most.
 DOCS_PER_LANGUAGE = 1000
+#: Characters of one document that are learned from at most; predictions read whole texts.
+LEARNED_CHARS = 200_000
 #: An n-gram enters a filter if its share there is this large, and not this many
 #: times smaller than its largest share in any language.
 LEAST_SHARE = 2e-6
@@ -143,11 +145,11 @@ def learned(docs: DataFrame) -> Filters:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
     own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.distinct().withColumn("at", F.row_number().over(own)).where(F.col("at") <= DOCS_PER_LANGUAGE).select("doc_id", "lang")
-    rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id")
+    rows = rows.agg(F.max(F.substring("text", 1, LEARNED_CHARS)).alias("text"))
     texts: dict[str, list[str]] = {}
     for row in rows.toLocalIterator():
-        if row["text"] and len(texts.setdefault(row["lang"], [])) < DOCS_PER_LANGUAGE:
-            texts[row["lang"]].append(row["text"])
+        texts.setdefault(row["lang"], []).append(row["text"])
     return learn({language: texts_of(pa.array(own, pa.string())) for language, own in texts.items()})
 
 

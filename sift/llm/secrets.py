@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sift.llm import frames
 from sift.llm.words import chunks, texts_of
 
 # Keywords, patterns and least lengths of the scan.
@@ -125,8 +126,7 @@ def secrets_in(docs: DataFrame, keep: list[str] | None = None, mask: bool = Fals
     is the text without its secrets, null where the text is null. A null or empty text
     has no spans; equal texts get equal spans; an empty table gives no rows.
     """
-    packed = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    row = packed.schema["row"].dataType.simpleString()
+    rows = frames.packed(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +139,8 @@ def secrets_in(docs: DataFrame, keep: list[str] | None = None, mask: bool = Fals
                     out.append(pa.array([masked(t, f) if f else t for t, f in zip(texts, found)], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=["row", "spans", "masked"][: len(out)])
 
-    fields = f"row {row}, spans array<struct<kind:string,start:bigint,end:bigint>>" + (", masked string" if mask else "")
-    return packed.mapInArrow(run, fields)
+    fields = "spans array<struct<kind:string,start:bigint,end:bigint>>" + (", masked string" if mask else "")
+    return rows.mapInArrow(run, frames.with_row(rows, fields))
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
@@ -149,5 +149,5 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     columns = []
     for name, kind in docs.dtypes:
         new = {"text": F.col("masked"), "n_chars": F.when(F.size("spans") > 0, F.length("masked")).otherwise(F.col("row.n_chars")) if name == "n_chars" else None}.get(name)
-        columns.append(F.col("row")[name].alias(name) if new is None else new.cast(kind).alias(name))
+        columns.append(F.col("row").getField(name).alias(name) if new is None else new.cast(kind).alias(name))
     return found.select(*columns)

@@ -9,8 +9,8 @@ def documents(spark):
 
     def make(*texts, **columns):
         rows = [t if isinstance(t, tuple) else (n, t) for n, t in enumerate(texts)]
-        schema = "doc_id bigint, text string, score string, kept string, row string, n_words string"
-        return spark.createDataFrame([(*r, "a", None, "b", "c") for r in rows], schema).repartition(3)
+        schema = "doc_id bigint, text string, score string, kept string, row string, n_words string, `a.b c` string"
+        return spark.createDataFrame([(*r, "a", None, "b", "c", "d") for r in rows], schema).repartition(3)
 
     return make
 
