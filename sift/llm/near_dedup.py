@@ -2,15 +2,17 @@
 
 A document's set holds its distinct shingles of five words. One permutation deals
 the set into bins and keeps the least value of each; an empty bin borrows from a
-bin that a fixed hash picks for it (optimal densification). Four bins make a band,
+bin that a fixed hash picks for it (optimal densification). A few bins make a band,
 and documents that agree in a band meet in its bucket. There every member is
-compared with one centre only, so a bucket of m members gives m - 1 pairs.
+compared with one centre only, so a bucket of m members gives m - 1 pairs. A band is
+as many bins as still leave a pair at the threshold without a common band less than
+once in 200,000 times.
 
 Documents with equal sets are one node, so thousands of copies cost one member.
 The first pass takes the same centre in all bands, which makes its pairs coincide.
 Later passes look only at buckets that still hold several components, and take other
-centres, three in every band: two documents above the threshold share about half of
-32 buckets, and a pair is tested as soon as either is a centre in one of them. Passes
+centres, three in every band: two documents above the threshold share about a third
+of the buckets, and a pair is tested as soon as either is a centre in one of them. Passes
 end when one joins no two components. Every link is confirmed on the full sets.
 """
 
@@ -28,8 +30,9 @@ from sift.llm.components import components
 from sift.llm.words import SPACES, Texts, chunks, mix, sequence_hash, split_words, texts_of, window_hash
 
 SHINGLE = 5
-BINS = 128
-ROWS = 4
+BINS = 256
+#: Chance that a pair exactly at the threshold shares no band.
+MISSED = 5e-6
 #: Centres of a bucket in every pass but the first.
 CENTRES = 3
 #: So many ids (16 MB) may be broadcast after they were counted; more are joined by a shuffle.
@@ -39,6 +42,13 @@ _U = np.uint64
 _SHIFT = _U(64 - BINS.bit_length() + 1)
 
 
+def rows_per_band(percent: int) -> int:
+    """As many bins a band as keep the chance of a miss at the threshold under ``MISSED``."""
+    similar = percent / 100
+    fits = [r for r in range(1, 17) if (1 - similar**r) ** (BINS // r) <= MISSED]
+    return max(fits, default=1)
+
+
 def shingle_sets(texts: Texts) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     words = split_words(texts, SPACES, fold=True)
@@ -79,12 +89,12 @@ def densified(sets: list[np.ndarray]) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
     """One key per band, different for different bands."""
-    bands = BINS // ROWS
-    groups = least.reshape(len(least), bands, ROWS)
+    bands = BINS // rows
+    groups = least[:, : bands * rows].reshape(len(least), bands, rows)
     key = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), groups.shape[:2]).copy()
-    for k in range(ROWS):
+    for k in range(rows):
         key = mix(key ^ groups[:, :, k])
     return key.view(np.int64)
 
@@ -103,17 +113,20 @@ def _nested(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, part in chunks(texts_of(batch.column(1))):
-            sets = shingle_sets(part)
-            size = np.array([len(s) for s in sets], dtype=np.int64)
-            keys = band_keys(densified(sets)[size > 0])
-            bands = np.where(size > 0, keys.shape[1], 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(set_names(sets)), _nested(keys.ravel(), bands)],
-                names=["doc_id", "n_shingles", "node", "bands"],
-            )
+def _sketches(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, part in chunks(texts_of(batch.column(1))):
+                sets = shingle_sets(part)
+                size = np.array([len(s) for s in sets], dtype=np.int64)
+                keys = band_keys(densified(sets)[size > 0], rows)
+                bands = np.where(size > 0, keys.shape[1], 0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(set_names(sets)), _nested(keys.ravel(), bands)],
+                    names=["doc_id", "n_shingles", "node", "bands"],
+                )
+
+    return run
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     folder = frames.scratch(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
-    sketch = texts.mapInArrow(_sketches, f"doc_id {kind}, n_shingles bigint, node binary, bands array<bigint>")
+    sketch = texts.mapInArrow(_sketches(rows_per_band(percent)), f"doc_id {kind}, n_shingles bigint, node binary, bands array<bigint>")
     sketch = frames.stored(sketch, folder, "sketch")
     named = sketch.where("n_shingles > 0 and doc_id is not null")
     nodes = named.groupBy("node").agg(
@@ -250,8 +263,9 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     folder = frames.scratch(spark)
     found = frames.stored(near_duplicates(docs, percent).select("doc_id", "kept"), folder, "decisions")
     dropped = found.where("not kept").select("doc_id").distinct()
-    left = _joined(docs, dropped, "doc_id", "left_anti").select(docs.columns)
+    columns = [F.col(frames.quoted(c)) for c in docs.columns]
+    left = _joined(docs, dropped, "doc_id", "left_anti").select(*columns)
     repeated = frames.stored(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "repeated")
     if repeated.isEmpty():
         return left
-    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*columns)
