@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sift.llm import frames
 from sift.llm.byte_bpe import ragged
 from sift.llm.language import held_out
-from sift.llm.words import NOT_ALNUM, LOWER, Texts, mix, span_hash, split_words, texts_of
+from sift.llm.words import LOWER, NOT_ALNUM, Texts, chunks, mix, span_hash, split_words, texts_of
 
 WINDOW = 32
 STRIDE = 16
@@ -31,10 +31,13 @@ WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 8, 16, 12, 12
 BYTE_GRAMS = (3, 4, 5, 6)
 #: Documents of each label that the network learns from at most, and windows of one.
 DOCS_PER_LABEL = 1000
+#: Characters of one document that are learned from at most; scores read whole texts.
+LEARNED_CHARS = 200_000
 WINDOWS_PER_DOC = 6
 EPOCHS = 6
 BATCH = 256
 SCORE_BATCH = 1024
+WORD_BATCH = 1 << 13
 
 _U = np.uint64
 
@@ -45,30 +48,46 @@ class Inputs:
 
     which: np.ndarray
     first: np.ndarray
+    key: np.ndarray
     word: np.ndarray
     gram: np.ndarray
     gram_at: np.ndarray
 
 
 def word_inputs(texts: Texts) -> Inputs:
+    """Inputs of any number of texts; the memory besides the result is that of one chunk."""
+    parts = [_inputs_of_chunk(part) for _, _, part in chunks(texts)] or [_inputs_of_chunk(texts)]
+    if len(parts) == 1:
+        return parts[0]
+    key, sample = np.unique(np.concatenate([p.key for p in parts]), return_index=True)
+    size = np.concatenate([[0], *(np.diff(p.gram_at) for p in parts)])
+    place, size = ragged(np.cumsum(size), sample)
+    which = np.concatenate([np.searchsorted(key, p.key)[p.which] for p in parts])
+    count = np.concatenate([np.diff(p.first) for p in parts])
+    gram = np.concatenate([p.gram for p in parts])[place]
+    word = np.concatenate([p.word for p in parts])[sample]
+    return Inputs(which, np.concatenate([[0], np.cumsum(count)]), key, word, gram, np.concatenate([[0], np.cumsum(size)]))
+
+
+def _inputs_of_chunk(texts: Texts) -> Inputs:
     words = split_words(texts, NOT_ALNUM, fold=True)
     key, sample, which = np.unique(words.hash, return_index=True, return_inverse=True)
     start, end = words.start[sample], words.end[sample]
     data = LOWER[texts.data]
-    owners, buckets = [], []
-    for n in BYTE_GRAMS:
-        # One place before the word's first byte to one behind its last: marks are spans cut short.
-        count = np.maximum(end - start + 2 - n + 1, 0)
+    # One place before the word's first byte to one behind its last: marks are spans cut short.
+    counts = [np.maximum(end - start + 2 - n + 1, 0) for n in BYTE_GRAMS]
+    gram_at = np.concatenate([[0], np.cumsum(sum(counts))])
+    gram = np.empty(gram_at[-1], dtype=np.int32)
+    filled = gram_at[:-1].copy()
+    for n, count in zip(BYTE_GRAMS, counts):
         owner = np.repeat(np.arange(len(key)), count)
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         lo, hi = start[owner] - 1 + offset, start[owner] - 1 + offset + n
         mark = (lo < start[owner]) * 1 + (hi > end[owner]) * 2
         h = span_hash(data, np.maximum(lo, start[owner]), np.minimum(hi, end[owner])) + mark.astype(np.uint64) * _U(0xD1B54A32D192ED03)
-        owners.append(owner), buckets.append((mix(h + _U(n)) >> _U(64 - CHAR_BUCKETS_LOG2)).astype(np.int32))
-    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
-    order = np.argsort(owner, kind="stable")
-    gram_at = np.searchsorted(owner[order], np.arange(len(key) + 1))
-    return Inputs(which, words.first, (key >> _U(64 - WORD_BUCKETS_LOG2)).astype(np.int32), bucket[order], gram_at)
+        gram[filled[owner] + offset] = (mix(h + _U(n)) >> _U(64 - CHAR_BUCKETS_LOG2)).astype(np.int32)
+        filled += count
+    return Inputs(which, words.first, key, (key >> _U(64 - WORD_BUCKETS_LOG2)).astype(np.int32), gram, gram_at)
 
 
 def windows_of(inputs: Inputs) -> tuple[np.ndarray, np.ndarray]:
@@ -221,8 +240,9 @@ class Network:
         return g, float(loss)
 
     def window_logits(self, inputs: Inputs, rows: np.ndarray) -> np.ndarray:
-        vectors, _ = self.vectors(inputs, np.arange(len(inputs.word)))
-        gates = self.projected(vectors if len(vectors) else np.zeros((1, WORD_SIZE + CHAR_SIZE), dtype=np.float32))
+        words = np.arange(len(inputs.word))
+        vectors = [self.vectors(inputs, words[lo : lo + WORD_BATCH])[0] for lo in range(0, len(words), WORD_BATCH)]
+        gates = self.projected(np.concatenate(vectors or [np.zeros((1, WORD_SIZE + CHAR_SIZE), dtype=np.float32)]))
         out = [self.forward(gates, rows[lo : lo + SCORE_BATCH])[0] for lo in range(0, len(rows), SCORE_BATCH)]
         return np.concatenate([np.zeros(0, dtype=np.float32), *out])
 
@@ -300,10 +320,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> Network:
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     own = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("at", F.row_number().over(own)).where(F.col("at") <= DOCS_PER_LABEL)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = {row["doc_id"]: row for row in sorted(rows.toLocalIterator(), key=lambda r: r["text"] or "", reverse=True)}
+    texts = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, LEARNED_CHARS).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "at").agg(F.max("text").alias("text"))
     # Labels take turns, so that the part that calibrates has both.
-    sample = sorted(found.values(), key=lambda r: (r["at"], r["toxic"]))
+    sample = sorted(rows.collect(), key=lambda r: (r["at"], r["toxic"]))
     return train(texts_of(pa.array([r["text"] for r in sample], pa.string())), np.array([r["toxic"] for r in sample], dtype=bool))
 
 
