@@ -34,7 +34,7 @@ MAX_BITS = 20
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 256
 #: Text tokenized at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 # ---- tokens -------------------------------------------------------------------
@@ -109,12 +109,38 @@ def _pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, place, ids``: the ids of every text and ``end_id``; ``place`` tells rows apart."""
-    with open(path, encoding="utf-8") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+def vocabulary_size(raw: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_str(raw).get_vocab(with_added_tokens=True).values(), default=-1) + 1
+
+
+def id_type(vocabulary: int) -> str:
+    """Two bytes an id where they are enough, else four; little-endian."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _binary(offsets: np.ndarray, ids: np.ndarray, kind: str) -> pa.Array:
+    places = pa.py_buffer((offsets * np.dtype(kind).itemsize).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, places, pa.py_buffer(ids.astype(kind).tobytes())])
+
+
+def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ids of each row begin (one more: the end), and all of them."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, dtype=np.uint8)
+    return (offsets - offsets[0]).astype(np.int64) // np.dtype(kind).itemsize, raw.view(kind)
+
+
+def tokenized(docs: DataFrame, raw_text: str, end_id: int, kind: str) -> DataFrame:
+    """``doc_id, place, ids``: the ids of every text and ``end_id``, as numbers of ``kind``.
+
+    ``place`` tells rows apart.
+    """
+    raw = docs.sparkSession.sparkContext.broadcast(raw_text)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    doc_id = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if raw.value not in _encoders:
@@ -130,20 +156,20 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 places = pa.array(np.arange(place, place + n))
                 place += n
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), places, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(full.astype(np.int32)))],
+                    [batch.column(0).slice(lo, n), places, _binary(offsets, full, kind)],
                     names=["doc_id", "place", "ids"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, place bigint, ids array<int>")
+    return rows.mapInArrow(run, f"doc_id {doc_id}, place bigint, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
+def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     """How often every id occurs; as many rows as the vocabulary has ids reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            own = np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            own = np.bincount(_ids(batch.column(0), kind)[1])
             if len(own) > len(total):
                 own, total = total, own
             total = total.copy()
@@ -242,18 +268,18 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, code: Code) -> np.nd
 # ---- files --------------------------------------------------------------------
 
 
-def write_files(tokens: DataFrame, folder: str) -> None:
-    """Write ``tokens`` (``doc_id, place, ids``) below ``folder`` in the format above.
+def write_files(tokens: DataFrame, folder: str, kind: str) -> None:
+    """Write ``tokens`` (``doc_id, place, ids`` as numbers of ``kind``) below ``folder`` in the format above.
 
     Rows are sorted by ``doc_id``, null first, then ``place``: the ranges and the order
     within them spread over the cluster, and many rows of one id over several ranges.
     """
     spark = tokens.sparkSession
-    lengths = code_lengths(id_counts(tokens))
+    lengths = code_lengths(id_counts(tokens, kind))
     book = spark.createDataFrame(sorted(lengths.items()), "id int, bits int")
     book.coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
     code = spark.sparkContext.broadcast(lengths)
-    kind = tokens.schema["doc_id"].dataType.simpleString()
+    doc_id = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = canonical(code.value)
@@ -269,14 +295,12 @@ def write_files(tokens: DataFrame, folder: str) -> None:
             return pa.RecordBatch.from_arrays(row, names=["file", "block", "first", "doc_ids", "sizes", "payload", "checkpoints"])
 
         for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy(zero_copy_only=False)
+            offsets, ids = _ids(batch.column(1), kind)
             lo = 0
-            while lo < len(lists):
+            while lo < batch.num_rows:
                 # Whole documents until the block is full.
                 hi = int(np.searchsorted(offsets[1:], offsets[lo] + BLOCK_TOKENS - held)) + 1
-                hi = min(hi, len(lists))
+                hi = min(hi, batch.num_rows)
                 docs.append(batch.column(0).slice(lo, hi - lo))
                 sizes.append(np.diff(offsets[lo : hi + 1]))
                 parts.append(ids[offsets[lo] : offsets[hi]])
@@ -291,7 +315,7 @@ def write_files(tokens: DataFrame, folder: str) -> None:
 
     ranged = tokens.repartitionByRange(F.col("doc_id").asc_nulls_first(), "place")
     ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "place").select("doc_id", "ids")
-    fields = f"file int, block int, first bigint, doc_ids array<{kind}>, sizes array<int>, payload binary, checkpoints array<bigint>"
+    fields = f"file int, block int, first bigint, doc_ids array<{doc_id}>, sizes array<int>, payload binary, checkpoints array<bigint>"
     ranged.mapInArrow(run, fields).write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
 
 
@@ -337,8 +361,11 @@ def round_trip(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     tokenizer file on the driver; its text is sent to the tasks.
     """
     folder = frames.scratch(docs.sparkSession)
-    tokens = frames.stored(tokenized(docs, path, end_id), folder, "tokens")
-    write_files(tokens, folder)
+    with open(path, encoding="utf-8") as f:
+        raw = f.read()
+    kind = id_type(max(vocabulary_size(raw), end_id + 1))
+    tokens = frames.stored(tokenized(docs, raw, end_id, kind), folder, "tokens")
+    write_files(tokens, folder, kind)
     return read_files(docs.sparkSession, folder)
 
 
