@@ -19,6 +19,7 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from sift.llm.words import chunks, span_hash, texts_of
 MAX_BITS = 20
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 256
+#: Distinct pieces whose ids a process remembers.
+KNOWN_PIECES = 1 << 17
 #: Text tokenized at once.
 CHUNK_BYTES = 1 << 20
 
@@ -54,10 +57,12 @@ class PieceEncoder:
         self.model = Tokenizer.from_str(raw).model
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
+        # A piece that was met lately is not encoded again.
+        self.piece = lru_cache(KNOWN_PIECES)(self._piece)
         self.alphabet = str.maketrans({chr(b): chr(256 + k) for k, b in enumerate(rest)})
 
-    def piece(self, text: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(text.encode("utf-8").decode("latin-1").translate(self.alphabet))]
+    def _piece(self, text: str) -> tuple[int, ...]:
+        return tuple(t.id for t in self.model.tokenize(text.encode("utf-8").decode("latin-1").translate(self.alphabet)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more: the end)."""
