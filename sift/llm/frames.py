@@ -14,11 +14,21 @@ from pyspark.sql.types import StructType
 from sift.session import shared_folder
 
 
+#: Rows are handed to Python in batches of about so many bytes, however long they are.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches end by their bytes, which bounds the memory of workers and executors."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one every executor shares.
 
     A temporary folder stands in only where the session names none, as in tests.
     """
+    bound_batches(spark)
     root = shared_folder(spark) or tempfile.mkdtemp(prefix="sift-")
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
@@ -48,6 +58,7 @@ def quoted(name: str) -> str:
 
 def packed(df: DataFrame, keep: list[str] | None, text: str = "text") -> DataFrame:
     """``row``, the columns ``keep`` (all, if not given) as a struct, and ``text`` as a string."""
+    bound_batches(df.sparkSession)
     row = F.struct(*(F.col(quoted(c)) for c in keep or df.columns))
     return df.select(row.alias("row"), F.col(quoted(text)).cast("string").alias("text"))
 
