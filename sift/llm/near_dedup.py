@@ -13,7 +13,10 @@ The first pass takes the same centre in all bands, which makes its pairs coincid
 Later passes look only at buckets that still hold several components, and take other
 centres, three in every band: two documents above the threshold share about a third
 of the buckets, and a pair is tested as soon as either is a centre in one of them. Passes
-end when one joins no two components. Every link is confirmed on the full sets.
+end when one joins no two components. Buckets that hold several components even then are
+finished exactly: all pairs of their members in different components are compared, in
+tiles of two salted blocks each, so a crowded bucket spreads over tasks. Every link is
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift.llm import frames
+from sift.llm.byte_bpe import ragged
 from sift.llm.components import components
 from sift.llm.words import SPACES, Texts, chunks, mix, sequence_hash, split_words, texts_of, window_hash
 
@@ -35,6 +39,8 @@ BINS = 256
 MISSED = 5e-6
 #: Centres of a bucket in every pass but the first.
 CENTRES = 3
+#: Full sets in a block of a bucket that is finished exactly; a tile compares two blocks.
+BLOCK_BYTES = 4 << 20
 #: So many ids (16 MB) may be broadcast after they were counted; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -173,6 +179,84 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b")
 
 
+def _open_tiles(buckets: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold untested pairs of several labels, once a tile.
+
+    A bucket of two was tested by the first pass. ``own`` is the member's block, ``i``
+    and ``j`` are the blocks of the tile.
+    """
+    member = buckets.withColumn("label", F.col("node"))
+    if labels is not None:
+        member = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    left = member.groupBy("band").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.sum("n_shingles").alias("total")
+    ).where("low <> high and members > 2").select("band", F.ceil(8 * F.col("total") / BLOCK_BYTES).alias("blocks"))
+    member = member.join(left, "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit(0)), "blocks"))
+    member = member.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    tile = member.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "doc_id", "label")
+    return tile.join(nodes.select("node", "bands"), "node")
+
+
+def _tile_links(percent: int):
+    """Links between different labels among the pairs of a tile.
+
+    A pair that meets in several buckets is compared in the first of them only.
+    """
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        n = tile.num_rows
+        items = tile.column("items").combine_chunks()
+        offsets = items.offsets.to_numpy().astype(np.int64)
+        offsets, flat = offsets - offsets[0], items.values.to_numpy()[offsets[0] : offsets[-1]]
+        size = np.diff(offsets)
+        values, number = np.unique(flat, return_inverse=True)
+        bands = tile.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        own, cross = tile.column("own").to_numpy(), tile.column("i")[0] != tile.column("j")[0]
+        names = tile.column("node").to_pylist()
+        place = {name: k for k, name in enumerate(dict.fromkeys(tile.column("label").to_pylist()))}
+        label = np.array([place[name] for name in tile.column("label").to_pylist()])
+        here = np.flatnonzero(bands[0] == tile.column("band")[0].as_py())[0]
+        holds = np.zeros(len(values), dtype=bool)
+        a, b = [], []
+        for x in range(n - 1):
+            y = np.arange(x + 1, n)
+            fits = (label[y] != label[x]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            if cross:
+                fits &= own[y] != own[x]
+            y = y[fits]
+            y = y[~(bands[y, :here] == bands[x, :here]).any(axis=1)]
+            if not len(y):
+                continue
+            mine = number[offsets[x] : offsets[x + 1]]
+            holds[mine] = True
+            at, length = ragged(offsets, y)
+            both = np.add.reduceat(holds[number[at]], np.cumsum(length) - length, dtype=np.int64)
+            holds[mine] = False
+            for k in y[100 * both >= percent * (size[x] + length - both)]:
+                if label[k] != label[x]:
+                    label[label == label[k]] = label[x]
+                    a.append(names[x])
+                    b.append(names[k])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _finished(buckets: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame | None, percent: int, folder: str, turn: int) -> DataFrame | None:
+    """The labels after all untested pairs of every bucket were compared."""
+    tiles = frames.stored(_open_tiles(buckets, nodes, labels), folder, "tiles")
+    ends = frames.stored(tiles.select("doc_id", "node").distinct(), folder, "tile_ends", few=True)
+    if ends.isEmpty():
+        return labels
+    asked = _joined(texts, ends, "doc_id", "inner").select("node", "text")
+    sets = frames.stored(asked.mapInArrow(_full_sets, "node binary, items array<bigint>"), folder, "tile_sets")
+    rows = tiles.join(sets, "node").select("band", "i", "j", "own", "node", "label", "bands", "items")
+    found = frames.stored(rows.groupBy("band", "i", "j").applyInArrow(_tile_links(percent), "a binary, b binary"), folder, "tile_links")
+    frames.remove(texts.sparkSession, f"{folder}/tile_sets")
+    return labels if found.isEmpty() else merged(labels, found, folder, turn)
+
+
 def merged(labels: DataFrame | None, links: DataFrame, folder: str, turn: int) -> DataFrame:
     """The labels of all linked nodes, after new ``links`` (``a, b``) between components.
 
@@ -237,6 +321,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         pairs = pairs.select("a", "b")
         tested = pairs if tested is None else tested.union(pairs)
         labels = merged(labels, found, folder, turn)
+    labels = _finished(buckets, nodes, texts, labels, percent, folder, turn + 1)
 
     # Only classes of several documents need a join; every other row is its own class.
     grouped = nodes.select("node", "doc_id", "copies")

@@ -8,6 +8,7 @@ import re
 import pytest
 from llm_cases import ODD, documents, rows  # noqa: F401
 
+from sift.llm import near_dedup
 from sift.llm.near_dedup import deduplicated, near_duplicates
 
 
@@ -65,6 +66,19 @@ def test_a_large_group_of_copies_and_of_near_copies(documents, rows):
     assert {r.component_id for r in found} == {0} and [r.doc_id for r in found if r.kept] == [0]
 
 
+@pytest.mark.parametrize("block_bytes", [near_dedup.BLOCK_BYTES, 100_000])
+def test_pairs_in_buckets_crowded_by_a_template_just_below_the_threshold(documents, rows, monkeypatch, block_bytes):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block_bytes)
+    template = [f"w{n}" for n in range(200)]
+    tails = [[f"t{d}x{n}" for n in range(20)] for d in range(400)]
+    for d in range(0, 80, 2):
+        tails[d + 1][:4] = tails[d][:4]
+    table = [(d, " ".join(template + tail)) for d, tail in enumerate(tails)]
+    expected = brute_force(table, 85)
+    assert sum(not row[3] for row in expected) == 40
+    assert rows(near_duplicates(documents(*table), 85)) == expected
+
+
 def test_repeated_and_missing_ids(documents, rows):
     text = "one two three four five six seven"
     found = near_duplicates(documents((5, text), (5, text), (None, text), (7, text), (8, None)))
