@@ -148,12 +148,12 @@ def lines_of(page: str) -> list[Line | None]:
 
 
 def main_text(page: str) -> str:
-    """The blocks between surge and dive of the line distribution, one a line."""
+    """The blocks between surge and dive of the line distribution, one a line.
+
+    ``<article>`` and ``<main>`` are boundaries, and a weight: where they hold most of the
+    text outside links, runs of their lines need no surge.
+    """
     lines = lines_of(page)
-    if any(line is not None and line.in_main for line in lines):
-        # The page marks its main part: all else is a gap, and its own text surges at once.
-        lines = [line if line is not None and line.in_main else None for line in lines]
-        return "\n".join(line.text for line in lines if line is not None)
     sizes: list[int] = []
     place: list[int] = []
     for line in lines:
@@ -165,6 +165,8 @@ def main_text(page: str) -> str:
     live = [line for line in lines if line is not None]
     if not live:
         return ""
+    marked = {p for line, p in zip(live, place) if line.in_main}
+    weighty = 2 * sum(sizes[p] for p in marked) > sum(sizes)
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
     kept = [False] * len(sizes)
     best, best_sum, i = (0, 0), 0, 0
@@ -181,7 +183,7 @@ def main_text(page: str) -> str:
             i += 1
         while i < j and not sizes[j - 1]:
             j -= 1
-        if i < j and max(sums[i:j]) >= SURGE:
+        if i < j and (max(sums[i:j]) >= SURGE or weighty and i in marked):
             kept[i:j] = [True] * (j - i)
         if sum(sizes[i:j]) > best_sum:
             best, best_sum = (i, j), sum(sizes[i:j])

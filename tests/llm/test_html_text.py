@@ -50,3 +50,11 @@ def test_tables(spark):
     found = {r.row.page_id: r.text for r in extracted(pages).collect()}
     assert found[0] == found[1] == found[2] == "" and found[len(ODD)] == found[len(ODD) + 1] == CASES["article"][1]
     assert extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_the_line_distribution_decides_where_article_or_main_is_not_the_story(tag):
+    story = f"<div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div>"
+    links = "<ul><li><a href=a>Link one of many</a><li><a href=b>Link two</a></ul>"
+    assert main_text(f"<body><{tag}><p>A card.</p>{links}</{tag}>{story}</body>") == f"Head\n{LONG}\n{LONG}"
+    assert main_text(f"<body><{tag}>{links}</{tag}>{story}</body>") == f"Head\n{LONG}\n{LONG}"
