@@ -49,7 +49,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_text.extracted(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    found = html_text.extracted(_table(spark, sf_dir, "pages"), ["page_id", "url"], between="\n\n")
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 

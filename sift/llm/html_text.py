@@ -147,8 +147,8 @@ def lines_of(page: str) -> list[Line | None]:
     return lines
 
 
-def main_text(page: str) -> str:
-    """The blocks between surge and dive of the line distribution, one a line.
+def main_text(page: str, between: str = "\n") -> str:
+    """The blocks between surge and dive of the line distribution, joined by ``between``.
 
     ``<article>`` and ``<main>`` are boundaries, and a weight: where they hold most of the
     text outside links, runs of their lines need no surge.
@@ -192,12 +192,14 @@ def main_text(page: str) -> str:
         kept[best[0] : best[1]] = [True] * (best[1] - best[0])
     # Short blocks of a section that surged belong to it, whatever lies between.
     surged = {line.section for line, p in zip(live, place) if kept[p] and line.size >= SURGE}
-    return "\n".join(line.text for line, p in zip(live, place) if kept[p] or (line.section in surged and line.size))
+    return between.join(line.text for line, p in zip(live, place) if kept[p] or (line.section in surged and line.size))
 
 
-def extracted(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def extracted(pages: DataFrame, keep: list[str] | None = None, between: str = "\n") -> DataFrame:
     """For every row of ``pages``: ``row`` and ``text``, the main text of the whole ``html``.
 
+    Blocks are joined by ``between``.
+
     ``row`` holds the columns ``keep`` (all, if not given) as a struct, so their names
     cannot clash. The text of a null or empty page, and of one without text, is empty;
     equal pages give equal texts; an empty table gives no rows.
@@ -207,7 +209,7 @@ def extracted(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _ in chunks(texts_of(batch.column(1))):
-                texts = [main_text(p) if p else "" for p in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                texts = [main_text(p, between) if p else "" for p in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(texts, pa.string())], names=["row", "text"])
 
     return rows.mapInArrow(run, frames.with_row(rows, "text string"))

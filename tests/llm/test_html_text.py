@@ -7,6 +7,7 @@ import html
 import pytest
 from llm_cases import ODD
 
+from sift.llm import catalog
 from sift.llm.html_text import extracted, main_text
 
 LONG = "Many words stand in this paragraph, which goes on and on so that its line is long enough to surge."
@@ -58,3 +59,10 @@ def test_the_line_distribution_decides_where_article_or_main_is_not_the_story(ta
     links = "<ul><li><a href=a>Link one of many</a><li><a href=b>Link two</a></ul>"
     assert main_text(f"<body><{tag}><p>A card.</p>{links}</{tag}>{story}</body>") == f"Head\n{LONG}\n{LONG}"
     assert main_text(f"<body><{tag}>{links}</{tag}>{story}</body>") == f"Head\n{LONG}\n{LONG}"
+
+
+def test_the_query_joins_blocks_by_two_line_ends(spark, tmp_path):
+    page, text = CASES["article"]
+    spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    expected = text.replace("\n", "\n\n")
+    assert [tuple(r) for r in catalog.op4_html_text(spark, str(tmp_path)).collect()] == [(1, "u", expected, len(expected))]
