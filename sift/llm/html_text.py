@@ -49,7 +49,8 @@ _TOKEN = re.compile(
 #: A tag whose quotes are not closed ends at the next angle bracket.
 _LOOSE = re.compile(r"<()(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_NAME = re.compile(r"[a-z]+")
+#: Elements that no name makes dead.
+NEVER_NAMED = frozenset("html body article main".split())
 
 
 @dataclass
@@ -60,6 +61,16 @@ class Line:
     size: int
     section: int
     in_main: bool
+    #: Open elements that are dead by name, unless they hold most of the page's text.
+    named: tuple[int, ...] = ()
+
+
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a whole token of the class or id says that the element is something else."""
+    if not attributes or tag in NEVER_NAMED:
+        return False
+    found = ((m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _ATTRIBUTE.finditer(attributes))
+    return any(name in ("class", "id") and not DEAD_NAMES.isdisjoint(value.split()) for name, value in found)
 
 
 def _is_dead(tag: str, attributes: str, in_main: bool) -> bool:
@@ -69,8 +80,6 @@ def _is_dead(tag: str, attributes: str, in_main: bool) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not DEAD_NAMES.isdisjoint(_NAME.findall(value)):
-            return True
         if name == "role" and value.strip() in DEAD_ROLES or name == "hidden":
             return True
         if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -80,8 +89,8 @@ def _is_dead(tag: str, attributes: str, in_main: bool) -> bool:
 
 def lines_of(page: str) -> list[Line | None]:
     """The live blocks in page order, ``None`` where a section or a dead part lies between."""
-    lines: list[Line | None] = []
-    stack: list[tuple[str, bool, int]] = []  # open sections: name, dead, number
+    lines: list[Line | int | None] = []  # a number: an edge of that section, if it is dead by name
+    stack: list[tuple[str, bool, int, bool]] = []  # open sections: name, dead, number, dead by name
     parts: list[str] = []
     plain: list[str] = []
     sections, links, mains, dead, block_dead = 0, 0, 0, 0, False
@@ -92,7 +101,7 @@ def lines_of(page: str) -> list[Line | None]:
                 text = " ".join(references.unescape("".join(parts)).split())
                 if text:
                     size = len(" ".join(references.unescape("".join(plain)).split()))
-                    lines.append(Line(text, size, stack[-1][2] if stack else 0, mains > 0))
+                    lines.append(Line(text, size, stack[-1][2] if stack else 0, mains > 0, tuple(s[2] for s in stack if s[3])))
             parts.clear()
             plain.clear()
 
@@ -123,28 +132,60 @@ def lines_of(page: str) -> list[Line | None]:
             flush()
             links, block_dead = 0, False
             if tag not in SECTION:
-                block_dead = not m[2] and bool(m[4]) and _is_dead(tag, m[4], mains > 0)
+                block_dead = not m[2] and bool(m[4]) and (_is_dead(tag, m[4], mains > 0) or _named(tag, m[4]))
             elif not m[2]:
                 is_dead = _is_dead(tag, m[4], mains > 0)
+                named = not is_dead and _named(tag, m[4])
                 sections += 1
-                stack.append((tag, is_dead, sections))
+                stack.append((tag, is_dead, sections, named))
                 dead += is_dead
                 mains += tag in MAIN
                 if is_dead or tag in MAIN:
                     lines.append(None)
+                elif named:
+                    lines.append(sections)
             elif any(s[0] == tag for s in stack):
                 while True:
-                    name, was_dead, _ = stack.pop()
+                    name, was_dead, number, was_named = stack.pop()
                     dead -= was_dead
                     mains -= name in MAIN
                     if was_dead or name in MAIN:
                         lines.append(None)
+                    elif was_named:
+                        lines.append(number)
                     if name == tag:
                         break
-        elif m[4] and tag not in VOID and tag in ("span", "label") and _is_dead(tag, m[4], mains > 0):
+        elif m[4] and tag not in VOID and tag in ("span", "label") and (_is_dead(tag, m[4], mains > 0) or _named(tag, m[4])):
             parts.append(" ")
     flush()
-    return lines
+    return _without_named(lines)
+
+
+def _without_named(lines: list[Line | int | None]) -> list[Line | None]:
+    """``lines`` without sections that are dead by name, except those with most of the page's text.
+
+    A section that leaves out text of ``<article>`` or ``<main>`` is never excepted: a
+    long thread of comments beside or within a short article stays one.
+    """
+    held: dict[int, int] = {}
+    marked: dict[int, int] = {}
+    total, all_marked = 0, 0
+    for line in lines:
+        if isinstance(line, Line):
+            total += line.size
+            all_marked += line.in_main
+            for number in line.named:
+                held[number] = held.get(number, 0) + line.size
+                marked[number] = marked.get(number, 0) + line.in_main
+    alive = {number for number, size in held.items() if 2 * size > total and marked[number] == all_marked}
+    left: list[Line | None] = []
+    for line in lines:
+        if isinstance(line, int):
+            if line not in alive:
+                left.append(None)
+        elif line is None or alive.issuperset(line.named):
+            left.append(line)
+    return left
 
 
 def main_text(page: str, between: str = "\n") -> str:

@@ -66,3 +66,15 @@ def test_the_query_joins_blocks_by_two_line_ends(spark, tmp_path):
     spark.createDataFrame([(1, "u", page)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     expected = text.replace("\n", "\n\n")
     assert [tuple(r) for r in catalog.op4_html_text(spark, str(tmp_path)).collect()] == [(1, "u", expected, len(expected))]
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-sidebar", "comments-open", "page-search", "menu-open", "sidebar"])
+@pytest.mark.parametrize("page", ["<body class='{}'><p>{}</p></body>", "<div id=x class='a {}'><p>{}</p></div>", "<article class='{}'><p>{}</p></article>"])
+def test_names_do_not_drop_what_holds_the_text(name, page):
+    assert main_text(page.format(name, f"{LONG}<div class='box ad'>Buy</div>")) == LONG
+
+
+def test_a_name_is_a_whole_token():
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='menu-open'><p>{LONG}</p></div>") == "\n".join([LONG] * 3)
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='big menu'><p>{LONG}</p></div>") == "\n".join([LONG] * 2)
+    assert main_text(f"<article><p>A few words.</p><section class='comments'><p>{LONG}</p></section></article>") == "A few words."
