@@ -16,6 +16,8 @@ the code book; all of its checkpoints advance together through one lookup table.
 from __future__ import annotations
 
 import heapq
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,13 +50,21 @@ class PieceEncoder:
 
     The library's normalizer (NFC, lower case by code point), its split into pieces and
     its byte alphabet are applied to all texts of a chunk; its model encodes each
-    distinct piece.
+    distinct piece. With ``special``, the library's default, the file's added tokens are
+    found in the texts as they are, before the normalizer, and have their own ids; without
+    it (the library's ``encode_special_tokens``) special ones are text like any other.
     """
 
-    def __init__(self, raw: str) -> None:
+    def __init__(self, raw: str, special: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(raw).model
+        added = [t for t in json.loads(raw).get("added_tokens") or [] if special or not t["special"]]
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that are not matched literally are not supported")
+        self.added = {t["content"]: t["id"] for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.mark = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
         # A piece that was met lately is not encoded again.
@@ -66,6 +76,19 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more: the end)."""
+        parts = [self.mark.split(t) if t and self.mark else [t] for t in texts]
+        count = np.array([len(p) for p in parts], dtype=np.int64)
+        if (count == 1).all():
+            return self._plain(texts)
+        # Texts and added tokens take turns; a token follows the ids of the text before it.
+        ids, first = self._plain([t for p in parts for t in p[::2]])
+        before = np.concatenate([[0], np.cumsum(count // 2 + 1)])
+        tokens = [self.added[t] for p in parts for t in p[1::2]]
+        after = np.concatenate([b + np.arange(1, n // 2 + 1) for b, n in zip(before[:-1], count)])
+        bounds = first[before] + np.concatenate([[0], np.cumsum(count // 2)])
+        return np.insert(ids, first[after], np.array(tokens, dtype=ids.dtype)), bounds
+
+    def _plain(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         import unicodedata
 
         # A final sigma is lowered like any other, code point by code point.
@@ -149,7 +172,7 @@ def tokenized(docs: DataFrame, raw_text: str, end_id: int, kind: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if raw.value not in _encoders:
-            _encoders[raw.value] = PieceEncoder(raw.value)
+            _encoders[raw.value] = PieceEncoder(raw.value, special=True)
         encoder = _encoders[raw.value]
         place = TaskContext.get().partitionId() << 40
         for batch in batches:

@@ -41,6 +41,20 @@ def test_ids_are_those_of_the_library(encoder, library):
         assert ids[s:e].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_added_tokens_have_their_ids_as_in_the_library_by_default(documents):
+    library = Tokenizer.from_file(PATH)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = token_files.PieceEncoder(f.read(), special=True)
+    rng = random.Random(5)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
+    texts = ["".join(rng.choices(PARTS + 3 * marks, k=rng.randrange(12))) for _ in range(3000)] + ODD + ["<|endoftext|>"]
+    ids, first = encoder.encode(texts)
+    for text, s, e in zip(texts, first[:-1], first[1:]):
+        assert ids[s:e].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    found = sorted(token_files.round_trip(documents("a <|endoftext|> b", "c"), PATH, end_id=2).collect(), key=lambda r: r.start)
+    assert found[0].ids == [320, 49407, 321, 2] and found[1].start == 4
+
+
 @pytest.mark.parametrize("limit", [20, 6, 4])
 def test_code_lengths_are_a_full_code_within_the_limit(limit):
     counts = {n: 1 + 3**n % 100_003 for n in range(16)}
