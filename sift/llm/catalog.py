@@ -13,7 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sift.llm import byte_bpe, chat, decontam, html_text, language, near_dedup, oracles, quality, secrets, token_files, toxicity
+from sift.llm import (
+    byte_bpe,
+    chat,
+    decontam,
+    html_text,
+    importance,
+    language,
+    lexical,
+    near_dedup,
+    oracles,
+    quality,
+    secrets,
+    token_files,
+    toxicity,
+    tree_bpe,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,6 +117,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = importance.resampled(docs, target, ["doc_id"], percent=10, min_words=20, max_words=1, buckets=10_000, seed=2024)
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = tree_bpe.encoded(_table(spark, sf_dir, "documents"), path, ["doc_id"])
+    return found.select(
+        "row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language": op1_language,
@@ -114,6 +148,9 @@ def queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_decontamination": op9_decontamination,
         "op10_near_dedup": op10_near_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_tree_bpe": op13_tree_bpe,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -123,4 +160,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": oracles.CHAT_FORMAT,
         "op9_decontamination": oracles.DECONTAMINATION,
         "op10_near_dedup": oracles.NEAR_DEDUP,
+        "op11_lexical_search": oracles.LEXICAL_SEARCH,
+        "op12_importance_resampling": oracles.RESAMPLING,
     }

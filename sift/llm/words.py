@@ -7,6 +7,7 @@ hash of its bytes; windows of words by a hash of those.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,9 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
 CHUNK_BYTES = 1 << 20
+#: Longer spans are hashed from their bytes: modulo a power of two, running sums give
+#: different long words of a regular pattern one value (Thue-Morse words of 1,024 letters).
+LONG_SPAN = 256
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -122,7 +126,11 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     up, down = _POWERS.upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    value = mix((sums[end] - sums[start]) * down[start])
+    for i in np.flatnonzero(end - start > LONG_SPAN).tolist():
+        own = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8)
+        value[i] = int.from_bytes(own.digest(), "little")
+    return value
 
 
 def split_words(texts: Texts, separator: np.ndarray, fold: bool) -> Words:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 
+import public_tokenizers
 import pytest
 import tiktoken
 from test_near_dedup import brute_force as classes
 from test_decontam import brute_force as hits
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sift.llm import byte_bpe, catalog, quality, secrets
@@ -29,6 +31,7 @@ COLUMNS = {
     "op5_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op7_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op8_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op13_tree_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
 }
 
 
@@ -55,6 +58,16 @@ def test_digests_of_secrets_and_ids(spark, sf_small):
         assert r.spans == ",".join(spans) and r.base_sha256 == sha(",".join(base).encode())
 
 
+def test_digests_of_words_with_ends(spark, sf_small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    for r in catalog.op13_tree_bpe(spark, sf_small).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(" ".join(map(str, ids))))
+        assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
 def test_pipeline_against_plain_python(spark, sf_small):
     """Every stage again without Spark; only the forest's verdicts are taken from it."""
     docs = spark.read.parquet(f"{sf_small}/documents.parquet")

@@ -1,0 +1,125 @@
+"""Ranked search: brute force over every pair, ties, odd rows, and bounds that prune."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm_cases import ODD
+from test_words import regular_words
+
+from sift.llm import lexical
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute_force(docs, items, top):
+    """(item, rank, doc, score) by the definition, every pair scored."""
+    counts = [(i, Counter(terms(t))) for i, t in docs]
+    n_docs, n_all = sum(bool(c) for _, c in counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * d + 1))) for t, d in df.items()}
+    asked = {}
+    for i, t in items:
+        asked.setdefault(i, set()).update(terms(t))
+    rows = []
+    for item, wanted in asked.items():
+        found = []
+        for i, c in counts:
+            m = 50 + 50 * sum(c.values()) * n_docs // n_all if n_all else 0
+            score = sum(weight[t] * (1_000_000_000 * c[t] // (1000 * c[t] + 20 * m)) for t in wanted if t in c)
+            found += [(-score, i is None, i)] if score > 0 else []
+        found.sort(key=lambda f: (f[0], f[1], f[2] or 0))
+        rows += [(item, rank, i, -s) for rank, (s, _, i) in enumerate(found[:top], 1)]
+    return sorted(rows, key=str)
+
+
+def searched(spark, docs, items, top):
+    left = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id bigint, text string, item string, rank int").repartition(4)
+    right = spark.createDataFrame([(*i, "y") for i in items], "item_id bigint, text string, score string")
+    found = lexical.ranked(left, right, top)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted(map(tuple, found.collect()), key=str)
+
+
+def sentences(rng, n, words):
+    return [" ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(len(words))], k=rng.randrange(1, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("top, share", [(5, 64), (50, 3)])
+def test_brute_force(spark, monkeypatch, top, share):
+    monkeypatch.setattr(lexical, "SEED_SHARE", share)
+    rng = random.Random(top)
+    words = [f"w{k}" for k in range(200)] + ["The", "THE", "é", "É", "中文", "a-b"]
+    docs = list(enumerate(sentences(rng, 600, words))) + [(1000 + k, t) for k, t in enumerate(ODD)] + [(None, "w1 w2"), (7, "w3"), (7, "w3")]
+    items = list(enumerate(sentences(rng, 40, words))) + [(100, None), (101, ""), (102, "nowhere found"), (3, "w150 w151"), (None, "w9 w9 w10")]
+    assert searched(spark, docs, items, top) == brute_force(docs, items, top)
+
+
+def test_ties_copies_and_long_words(spark):
+    one, two = regular_words(2048)
+    docs = [(k, "same words here") for k in range(90, 0, -1)] + [(200, one), (201, two), (202, "x" * 300_000 + " here")]
+    items = [(0, "same words"), (1, one), (2, two), (3, "same words"), (4, "x" * 300_000)]
+    found = searched(spark, docs, items, 50)
+    assert found == brute_force(docs, items, 50)
+    assert [r[2] for r in sorted(found)[:50]] == list(range(1, 51))
+    assert [r[2] for r in found if r[0] == 1] == [200] and [r[2] for r in found if r[0] == 2] == [201]
+
+
+def test_empty_tables(spark):
+    assert searched(spark, [], [(1, "a")], 5) == searched(spark, [(1, "a")], [], 5) == searched(spark, [(1, None)], [(1, None)], 5) == []
+
+
+def test_items_in_blocks_give_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"v{k}" for k in range(50)]
+    docs, items = list(enumerate(sentences(rng, 80, words))), list(enumerate(sentences(rng, 12, words)))
+    monkeypatch.setattr(lexical, "ITEM_BYTES", 400)
+    assert searched(spark, docs, items, 4) == brute_force(docs, items, 4)
+
+
+def _task(items, weight, top, batches):
+    search = lexical.Search(items, weight, np.zeros(len(items.ids), dtype=np.int64), top)
+    for b in batches:
+        search.add(*b)
+    return search
+
+
+def test_bounds_leave_out_most_pairs_and_no_result():
+    """Topics of their own words: the trees find each query's topic and skip the others."""
+    rng = np.random.default_rng(11)
+    topics, own = 16, 30
+    texts = [" ".join(f"t{k}x{w}" for w in rng.choice(own, 12, replace=False)) for k in range(topics) for _ in range(8)]
+    items = lexical.parse_items(list(range(len(texts))), texts)
+    weight = rng.integers(1, 5000, len(items.lexicon)).astype(np.int64)
+    number = {items.lexicon.data[s : s + n].tobytes().decode(): t for t, (s, n) in enumerate(zip(items.lexicon.start.tolist(), items.lexicon.size.tolist()))}
+    docs = [[sorted({number[w] for w in (f"t{rng.integers(topics) if mixed else k % topics}x{rng.integers(own)}" for _ in range(20)) if w in number}) for k in range(512)] for mixed in (False, True)]
+    for rows in docs:
+        first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        flat = np.array([t for r in rows for t in r])
+        impact = rng.integers(1, 900_000, len(flat)).astype(np.int64)
+        batches = []
+        for k in range(4):
+            s = slice(first[128 * k], first[128 * (k + 1)])
+            batches.append((np.arange(128 * k, 128 * (k + 1)), first[128 * k : 128 * (k + 1) + 1] - first[128 * k], flat[s], impact[s]))
+        search = _task(items, weight, 3, batches)
+        dense = np.zeros((512, len(weight)), dtype=np.int64)
+        dense[np.repeat(np.arange(512), np.diff(first)), flat] = impact
+        got = sorted(zip(*(x.tolist() for x in search.results())))
+        expected = []
+        for i in range(len(texts)):
+            own_terms = items.terms[items.first[i] : items.first[i + 1]]
+            score = dense[:, own_terms] @ weight[own_terms]
+            best = sorted((-int(s), d) for d, s in enumerate(score.tolist()) if s > 0)[:3]
+            expected += [(i, d, -s) for s, d in best]
+        assert got == sorted(expected)
+        if rows is docs[0]:
+            assert search.scored < search.pairs / 2
