@@ -58,11 +58,11 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     store = SeenStore(spark, args.state, args.buckets)
     scorer, limits = keyword_scorer(settings.rules), settings.thresholds
     sink = text_sink(args.alerts, limits)
-    batch_id = store.next_batch_id() if args.batch_id is None else args.batch_id
-    if args.compact and batch_id > 0:
-        store.compact(batch_id - 1)
-    if args.expire and batch_id > 0:
-        store.expire(batch_id - 1)
+    before = store.next_batch_id() if args.batch_id is None else args.batch_id
+    if args.compact and before > 0:
+        store.compact(before - 1)
+    if args.expire and before > 0:
+        store.expire(before - 1)
     if args.stream:
         start_feed(
             spark, args.landing, settings.boards, scorer, store, limits, sink,
@@ -72,8 +72,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     read = read_payload_lines if args.lines else read_payload_files
     feed = board_source(lambda s: read(s, args.landing, settings.boards), settings.boards)
     mapped, now = load_sources(spark, [feed]), datetime.now(timezone.utc)
-    run_feed(mapped, scorer, store, batch_id, now, limits, sink, args.on_bad)
-    for row in batch_counts(store, batch_id, [feed.name]).collect():
+    batch = store.begin(args.batch_id)
+    run_feed(mapped, scorer, store, batch, now, limits, sink, args.on_bad)
+    for row in batch_counts(store, batch.batch_id, [feed.name]).collect():
         print(row.message)
 
 

@@ -20,7 +20,7 @@ from sift.params import RuleSet, Thresholds
 from sift.plans.sink import write_alerts
 from sift.schema import ALERT_FIELDS
 from sift.sources.collect import DROP_SOURCE, QUARANTINE, without_sources
-from sift.state.seen import SeenStore
+from sift.state.seen import Batch, SeenStore
 
 Scorer = Callable[[DataFrame], DataFrame]
 Sink = Callable[[DataFrame, int], None]
@@ -37,7 +37,7 @@ def run_feed(
     mapped: DataFrame,
     scorer: Scorer,
     store: SeenStore,
-    batch_id: int,
+    batch_id: int | Batch | None,
     now: datetime,
     thresholds: Thresholds = Thresholds(),
     sink: Sink | None = None,
@@ -49,64 +49,69 @@ def run_feed(
     rejects travel through the same aggregation, under keys of their own, and the
     narrow result is filtered by them. Under either handling the rejects are kept
     with their reasons, the first of each reason and board and how often it came.
+    Without a ``batch_id`` the batch takes its place behind all that are committed.
     """
     if on_bad not in (DROP_SOURCE, QUARANTINE):
         raise ValueError(f"unknown handling of bad rows: {on_bad}")
-    store.record(batch_id)
+    batch = store.begin(batch_id)
     is_bad = F.col("reject").isNotNull()
     scored = scorer(mapped.where(is_bad | has_required_fields()))
     bad_key = F.struct("source", "company", "reject")
     key = F.struct(F.when(~is_bad, F.col(KEY)).alias(KEY), F.when(is_bad, bad_key).alias("bad"))
     summary = batch_summary(scored.withColumn(KEY, key), ALERT_FIELDS)
     summary = summary.select(F.col(f"{KEY}.{KEY}").alias(KEY), F.col(f"{KEY}.bad.reject").alias("reject"), *summary.columns[1:])
-    collected = store.write_collected(summary, batch_id, now)
+    collected = store.write(summary.withColumn("now", F.lit(now)), "collected", batch)
     bad = collected.where(F.col("reject").isNotNull())
-    bad = store.write_rejects(bad.select("source", "company", "ingest_seq", "reject", "n_rows"), batch_id)
+    bad = store.write(bad.select("source", "company", "ingest_seq", "reject", "n_rows"), "rejects", batch)
     sound = collected.where(F.col("reject").isNull()).drop("reject")
     if on_bad == DROP_SOURCE:
         sound = without_sources(sound, bad.select("source").distinct())
-    return _after_summary(sound, store, batch_id, now, thresholds, sink)
+    return _after_summary(sound, store, batch, now, thresholds, sink, "rejects")
 
 
 def run_batch(
     posts: DataFrame,
     scorer: Scorer,
     store: SeenStore,
-    batch_id: int,
+    batch_id: int | Batch | None,
     now: datetime,
     thresholds: Thresholds = Thresholds(),
     sink: Sink | None = None,
 ) -> DataFrame:
     """Process one batch of postings and return its alerted rows."""
-    store.record(batch_id)
+    batch = store.begin(batch_id)
     summary = batch_summary(scorer(posts), ALERT_FIELDS)
-    return _after_summary(summary, store, batch_id, now, thresholds, sink)
+    return _after_summary(summary, store, batch, now, thresholds, sink)
 
 
 def _after_summary(
     summary: DataFrame,
     store: SeenStore,
-    batch_id: int,
+    batch: Batch,
     now: datetime,
     thresholds: Thresholds,
     sink: Sink | None,
+    *logs: str,
 ) -> DataFrame:
     """Order of effects: remembered, then alerted, then marked, so an alert goes
     out at most once per completed run of a batch id."""
-    sightings = store.write_sightings(summary, batch_id, now)
+    store.write(summary.withColumn("now", F.lit(now)), "sightings", batch)
+    # From here on the batch has its id, and all batches before it are committed.
+    store.commit(batch, "sightings", *logs)
+    sightings = store.sightings_of(batch.batch_id)
 
     # Only rows that can be alerted need to be compared with the past. The count
     # reads one column of the log and proves the size of what may be broadcast.
     lowest = min(thresholds.digest, thresholds.instant)
     candidates = sightings.where(F.col("first_score") >= lowest)
-    new = store.filter_new(candidates, batch_id, candidates.count())
+    new = store.filter_new(candidates, batch.batch_id, candidates.count())
     routed = route(new.withColumnRenamed("first_score", "score"), thresholds)
 
-    written = store.write_routed(routed, batch_id)
+    written = store.write(routed, "routed", batch)
     if sink is not None:
-        sink(written, batch_id)
+        sink(written, batch.batch_id)
     chosen = alerted(written, thresholds)
-    store.mark_notified(chosen, batch_id)
+    store.mark_notified(chosen, batch)
     return chosen
 
 

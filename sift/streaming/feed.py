@@ -49,10 +49,10 @@ def start_feed(
     where = checkpoint or f"{folder}/sift-feed"
 
     def process(landed: DataFrame, feed_batch: int) -> None:
-        batch_id = store.batch_id_for(where, feed_batch)
+        batch = store.begin(feed=where, feed_batch=feed_batch)
         mapped = board_source(lambda _: landed, boards, source).load(landed.sparkSession, 0)
-        now = clock(batch_id)
-        run_feed(mapped, scorer, store, batch_id, now, thresholds, sink, on_bad)
+        now = clock(batch.batch_id)
+        run_feed(mapped, scorer, store, batch, now, thresholds, sink, on_bad)
 
     landed = stream_payload_files(spark, landing, max_files)
     writer = landed.writeStream.foreachBatch(process).option("checkpointLocation", where)
