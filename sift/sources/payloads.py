@@ -17,10 +17,13 @@ from sift.functions.variants import kind, members
 from sift.params import Board
 
 # Options of the reader that takes over for bodies too large for one variant.
-_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-TOO_LARGE = "job is too large"
-# A job whose text is shorter always fits into a variant.
-LARGE_JOB = 1 << 24
+_STRICT_JSON = {
+    "allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "maxStringLen": str((1 << 31) - 1),
+    "columnNameOfCorruptRecord": "_corrupt",
+}
+TOO_LARGE = "a value of the job is too large"
+# A job whose text is shorter always fits into a variant; others may have to be read member by member.
+SURE_TO_FIT = 1 << 24
 
 # What a posting is made of. All else stays in the raw object.
 JOB_MEMBERS = ("title", "absolute_url", "location", "content", "updated_at")
@@ -105,8 +108,15 @@ def body_variants(wrapped: Column) -> Column:
     return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)).getField("jobs"))
 
 
-def _too_large(text: Column) -> Column:
-    return (F.length(text) >= LARGE_JOB) & F.try_parse_json(text).isNull()
+def _no_variant(text: Column) -> Column:
+    """True for a job that is too large for one variant."""
+    return (F.length(text) >= SURE_TO_FIT) & F.try_parse_json(text).isNull()
+
+
+def _member_by_member(text: Column) -> Column:
+    """The members of a job that is no variant, each a variant of its own."""
+    fields = ", ".join(f"{name}: variant" for name in JOB_MEMBERS)
+    return F.from_json(text, f"struct<{fields}, _corrupt: string>", _STRICT_JSON)
 
 
 def _opened(job: Column, reject: Column) -> Column:
@@ -114,8 +124,14 @@ def _opened(job: Column, reject: Column) -> Column:
 
 
 def _opened_text(text: Column) -> Column:
+    """A job from its text. One that is no variant keeps its members, but no raw object."""
     job = F.try_parse_json(text)
-    return _opened(job, F.when(_too_large(text), TOO_LARGE))
+    apart = F.when(_no_variant(text), _member_by_member(text))
+    own = F.struct(*[apart.getField(name).alias(name) for name in JOB_MEMBERS])
+    is_object = apart.getField("_corrupt").isNull() & F.startswith(text, F.lit("{"))
+    part = F.coalesce(members(job, *JOB_MEMBERS), F.when(apart.isNotNull() & is_object, own))
+    reject = F.when(apart.isNotNull() & ~is_object, TOO_LARGE)
+    return F.struct(job.alias("job"), part.alias("part"), reject.alias("reject"))
 
 
 def job_rows(payloads: DataFrame) -> DataFrame:
@@ -145,7 +161,7 @@ def job_rows(payloads: DataFrame) -> DataFrame:
     is_list = F.col("_listed").isNull() & (F.size("_texts") == 1) & F.startswith("_text", F.lit("["))
     split = F.when(is_list, F.from_json("_text", "array<string>", _STRICT_JSON))
     opened = opened.withColumn("_split", split)
-    opened = opened.withColumn("_listed_texts", F.when(F.exists("_split", _too_large), F.col("_split")))
+    opened = opened.withColumn("_listed_texts", F.when(F.exists("_split", _no_variant), F.col("_split")))
     opened = opened.withColumn("payload_reject", _payload_reject())
     kept = [c for c in payloads.columns if c != "payload"]
     # The generator is outer to keep bodies that give no job, and because the

@@ -151,15 +151,33 @@ def test_both_readers_give_the_same_rows(spark, landed, monkeypatch):
     assert rows() == first
 
 
-def test_a_job_too_large_is_one_reject(spark, landed, monkeypatch):
-    body = landed({"jobs": [job(), {"title": "big"}, job()]})
+@pytest.fixture
+def no_variant(monkeypatch):
+    """Bodies, and jobs with the word big in them, are too large for a variant."""
     monkeypatch.setattr(payloads, "parsed_body", lambda wrapped: F.lit(None).cast("variant"))
     real = F.try_parse_json
     too_large = lambda text: F.when(~F.contains(text, F.lit("big")), real(text))
     monkeypatch.setattr(payloads.F, "try_parse_json", too_large)
-    monkeypatch.setattr(payloads, "LARGE_JOB", 10)
-    # What the reader of whole bodies gives for one with a job that is too large.
+    monkeypatch.setattr(payloads, "SURE_TO_FIT", 10)
+    # What the reader of whole bodies gives for one with such a job.
     monkeypatch.setattr(payloads, "body_variants", lambda wrapped: F.lit(None).cast("array<variant>"))
+
+
+def test_no_job_is_rejected_for_its_size(spark, landed, mapped, no_variant):
+    large = job(title=" big ", location={"name": "Rome"}, content={"description": "x", "requirements": 5, "responsibilities": "y"})
+    body = {"jobs": [job(), large, job(title="big", absolute_url=7), job()]}
+    rows = job_rows(landed(body)).select("pos", "payload_reject", F.col("job").isNull()).orderBy("pos").collect()
+    assert [tuple(r) for r in rows] == [(0, None, False), (1, None, True), (2, None, True), (3, None, False)]
+    posts = mapping.postings(mapped(body)).orderBy("ingest_seq").collect()
+    assert [p.title for p in posts] == [job()["title"], "big", job()["title"]]
+    assert (posts[1].location, posts[1].description, posts[1].raw) == ("Rome", "x\n\ny", None)
+    assert [r.reject for r in mapping.rejects(mapped(body)).collect()] == ["url is not text"]
+
+
+def test_a_value_too_large_is_one_reject(spark, landed, no_variant, monkeypatch):
+    body = landed({"jobs": [job(), {"title": "big"}, job()]})
+    broken = lambda text: F.from_json(F.lit("{"), f"struct<{', '.join(f'{n}: variant' for n in payloads.JOB_MEMBERS)}, _corrupt: string>", payloads._STRICT_JSON)
+    monkeypatch.setattr(payloads, "_member_by_member", broken)
     rows = job_rows(body).select("pos", "payload_reject").orderBy("pos").collect()
     assert [tuple(r) for r in rows] == [(0, None), (1, payloads.TOO_LARGE), (2, None)]
 
