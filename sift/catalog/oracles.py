@@ -284,6 +284,16 @@ _PAGES = _with(PAGES)
 _STATE = "fingerprint, first_seen, last_seen, score, source, company, title, url"
 
 
+_NEW_DOCUMENTS = (
+    _DOCUMENT_SCORES
+    + """SELECT fingerprint, min(doc_id) AS doc_id, arg_min(score, doc_id) AS score
+FROM listed
+WHERE fingerprint NOT IN (
+  SELECT fingerprint FROM listed WHERE doc_id IN (SELECT doc_id FROM labels))
+GROUP BY fingerprint"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "run_once": _OFFER_ALERTS
@@ -308,6 +318,9 @@ SELECT route, fingerprint, score, title, company, location, remote, url, source,
         "landed_lines": _PAGES
         + "SELECT token, pos::INTEGER AS pos, url AS absolute_url FROM job"
         + " WHERE token IN (SELECT token FROM board)",
+        "split_bodies": _PAGES
+        + "SELECT token, title, url, location, md5(description) AS description_md5 FROM job"
+        + " WHERE title <> '' AND url <> ''",
         "run_replay": _EVENT_STATE
         + f""", routed AS (
   SELECT fingerprint, first_score, row_number() OVER (
@@ -336,12 +349,8 @@ FROM state""",
         "score_documents": _DOCUMENT_SCORES
         + "SELECT doc_id, fingerprint, score, reasons FROM listed",
         "dedup_first": _OFFER_FIRST + f"SELECT fingerprint, {_KEYS}, title, score, reasons FROM fresh",
-        "filter_new": _DOCUMENT_SCORES
-        + """SELECT fingerprint, min(doc_id) AS doc_id, arg_min(score, doc_id) AS score
-FROM listed
-WHERE fingerprint NOT IN (
-  SELECT fingerprint FROM listed WHERE doc_id IN (SELECT doc_id FROM labels))
-GROUP BY fingerprint""",
+        "filter_new": _NEW_DOCUMENTS,
+        "filter_new_merged": _NEW_DOCUMENTS,
         "seen_state": _EVENT_STATE + f"SELECT {_STATE}, false AS notified FROM state",
         "mark_notified": _EVENT_STATE
         + """SELECT fingerprint, coalesce((

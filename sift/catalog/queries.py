@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,16 @@ from sift.catalog.views import (
 from sift.functions.text import fingerprint
 from sift.functions.times import parse_utc
 from sift.operators import dedup, mapping, report, routing, scoring
-from sift.params import RuleSet
-from sift.plans import replay
+from sift.params import RuleSet, Thresholds
+from sift.plans import batch, replay
+from sift.plans.batch import keyword_scorer
 from sift.schema import ALERT_FIELDS
 from sift.session import configure, shared_folder
 from sift.sources import boards, collect, payloads
+from sift.sources.bodies import read_split_bodies
 from sift.state.seen import (
     STATE_COLUMNS,
+    SeenStore,
     merge_states,
     notified_states,
     sighting_states,
@@ -39,6 +43,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 OFFER_KEYS = ("l_orderkey", "l_linenumber", "url")
 _STAMP = "yyyy-MM-dd HH:mm:ss"
+EARLIER, NOW = (datetime(2024, 1, day, tzinfo=timezone.utc) for day in (1, 2))
 
 
 def _joined(column: str) -> Column:
@@ -241,28 +246,63 @@ def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one every executor shares."""
+    root = shared_folder(spark) or tempfile.mkdtemp(prefix="sift-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def run_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship, from landed bodies to alerts: pages of blogs were a run before.
 
     Bodies are parsed, mapped, freed of failing sources and scored; repeats and what
-    the earlier run has seen are left out; the rest is routed and formatted.
+    the earlier run has seen are left out; the rest is routed and formatted. Both runs
+    are those of ``plans.batch``, on a store of their own; each reads its feed once.
     """
-    posts = collect.isolate_sources(_isolated_pages(spark, sf_dir))
-    scored = scoring.score(posts, PAGE_RULES)
-    summary = dedup.batch_summary(scored, ALERT_FIELDS).withColumnRenamed("first_score", "score")
-    earlier = sighting_states(
-        dedup.batch_summary(scored.where(F.col("source").startswith("blog.")), ALERT_FIELDS)
-        .withColumns({"now": F.current_timestamp(), "batch_id": F.lit(0).cast("bigint")})
-    )
-    candidates = summary.where(F.col("score") >= min(THRESHOLDS.digest, THRESHOLDS.instant))
-    new = dedup.not_known(candidates, merge_states([earlier]))
-    chosen = routing.alerted(routing.route(new, THRESHOLDS), THRESHOLDS)
+    store, scorer = SeenStore(spark, _folder(spark, "seen"), buckets=8), keyword_scorer(PAGE_RULES)
+    mapped = _isolated_pages(spark, sf_dir)
+    batch.run_feed(mapped.where(F.col("source").startswith("blog.")), scorer, store, None, EARLIER, THRESHOLDS)
+    chosen = batch.run_feed(mapped, scorer, store, None, NOW, THRESHOLDS)
     return chosen.select(
         "route", "fingerprint", "score", "title", "company", "location", "remote", "url", "source",
         _joined("reasons"), routing.format_alert().alias("text"),
     )
 
 
+def filter_new_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose content is not among the labelled ones, which are merged state by then."""
+    scored = scoring.score(views.document_posts(spark, sf_dir), DOCUMENT_RULES)
+    seq = F.struct(
+        F.lit(0).alias("source_ord"), F.lit(0).alias("board_ord"), F.lit("documents").alias("landed"),
+        F.col("doc_id").alias("landed_pos"), F.lit(0).alias("pos"),
+    )
+    rows = scored.withColumn("ingest_seq", seq)
+    labels = views.table(spark, sf_dir, "labels").select("doc_id")
+    store, limits = SeenStore(spark, _folder(spark, "seen"), buckets=8), Thresholds(instant=101, digest=0)
+    batch.run_batch(rows.join(labels, "doc_id", "left_semi"), lambda d: d, store, 0, EARLIER, limits)
+    store.compact(0)
+    batch.run_batch(rows, lambda d: d, store, 1, NOW, limits)
+    return store.routed_of(1).select("fingerprint", F.col("ingest_seq.landed_pos").alias("doc_id"), "score")
+
+
+def split_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of a board landed as one body, and the postings that several tasks read from it."""
+    path, pages = _folder(spark, "bodies"), views.landed_pages(spark, sf_dir)
+    texts = F.from_json("payload", "struct<jobs: array<string>>")["jobs"]
+    jobs = pages.select(F.col("token").alias("board"), "landed_pos", F.posexplode(texts).alias("pos", "job"))
+    lines = jobs.select("board", F.lit(1).alias("part"), "landed_pos", "pos", F.concat(F.lit(","), "job").alias("value"))
+    ends = pages.select(F.col("token").alias("board")).distinct()
+    for part, text in ((0, '{"jobs":[{}'), (2, "]}")):
+        end = ends.select("board", F.lit(part).alias("part"), F.lit(None).cast("bigint").alias("landed_pos"), F.lit(0).alias("pos"), F.lit(text).alias("value"))
+        lines = lines.unionByName(end)
+    # A body is one file, and so is written by one task.
+    ordered = lines.repartition("board").sortWithinPartitions("board", "part", "landed_pos", "pos")
+    ordered.select("value", "board").write.partitionBy("board").text(path)
+    found = mapping.read_members(payloads.job_rows(read_split_bodies(spark, path)))
+    kept = mapping.required_filter(found)
+    return kept.select("token", "title", "url", "location", F.md5("description").alias("description_md5"))
+
+
 def long_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers scored by hundreds of words that only part names ever hold."""
     scored = scoring.score(views.offers(spark, sf_dir), LONG_RULES)
@@ -271,8 +311,7 @@ def long_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages landed as JSON lines in board folders, and the jobs of configured boards."""
-    root = shared_folder(spark) or tempfile.mkdtemp(prefix="sift-")
-    path = f"{root.rstrip('/')}/landed-{uuid.uuid4().hex}"
+    path = _folder(spark, "landed")
     bodies = views.landed_pages(spark, sf_dir).select(F.col("payload").alias("value"), F.col("token").alias("board"))
     bodies.write.partitionBy("board").text(path)
     jobs = payloads.job_rows(payloads.read_payload_lines(spark, path, PAGE_BOARDS))
@@ -420,6 +459,7 @@ REGISTERED: dict[str, Query] = {
     "run_replay": run_replay,
     "long_lists": long_lists,
     "landed_lines": landed_lines,
+    "split_bodies": split_bodies,
     "search_text": search_text,
     "fingerprint": fingerprints,
     "kill_list": kill_list,
@@ -434,6 +474,7 @@ REGISTERED: dict[str, Query] = {
     "score_documents": score_documents,
     "dedup_first": dedup_first,
     "filter_new": filter_new,
+    "filter_new_merged": filter_new_merged,
     "seen_state": seen_state,
     "mark_notified": mark_notified,
     "seen_unique": seen_unique,
