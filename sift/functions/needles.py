@@ -70,16 +70,30 @@ def any_of(needles: Sequence[str]) -> str:
     return _pattern(_tree(needles))
 
 
+def _separators(texts: Sequence[str], n: int) -> list[str]:
+    """Characters that occur in none of the texts."""
+    used = set("".join(texts))
+    return [c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used][:n]
+
+
+def listed(needles: Sequence[str]) -> Column:
+    """The needles as an array: one literal, however many there are, folded when planned."""
+    (between,) = _separators(needles, 1)
+    return F.split(F.lit(between.join(needles)), between)
+
+
 def positions(text: Column, needles: Sequence[str]) -> Column:
     """Ascending positions, in the list, of all needles that occur; of repeats, each."""
     places: dict[str, list[int]] = {}
     for place, needle in enumerate(needles):
         places.setdefault(needle, []).append(place)
+    between, after = _separators(needles, 2)
     pairs = []
     for needle in places:
         beginnings = (needle[:size] for size in range(len(needle) + 1))
         found = sorted(p for b in beginnings for p in places.get(b, ()))
-        pairs += [F.lit(needle), F.array(*map(F.lit, found))]
+        pairs.append(f"{needle}{after}{','.join(map(str, found))}")
     longest = F.regexp_extract_all(text, F.lit(f"(?=({any_of(list(places))}))"), F.lit(1))
-    known = F.create_map(*pairs)
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(longest), lambda n: F.element_at(known, n)))))
+    known = F.str_to_map(F.lit(between.join(pairs)), F.lit(between), F.lit(after))
+    found = F.flatten(F.transform(F.array_distinct(longest), lambda n: F.split(F.element_at(known, n), ",")))
+    return F.array_sort(F.array_distinct(found.cast("array<int>")))

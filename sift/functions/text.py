@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sift.functions.needles import any_of, positions
+from sift.functions.needles import any_of, listed, positions
 
 # ---- fixed values: every code point that counts as outer white space ----------
 WHITESPACE = (
@@ -33,10 +33,6 @@ def blank_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def needle_array(needles: Sequence[str]) -> Column:
-    return F.array(*[F.lit(n) for n in needles])
-
-
 def contains_any(text: Column, needles: Sequence[str]) -> Column:
     """True if any needle occurs in the text as a plain substring."""
     if not needles:
@@ -51,7 +47,7 @@ def first_contained(text: Column, needles: Sequence[str]) -> Column:
     if not needles:
         return F.lit(None).cast("string")
     if len(needles) > UNROLL_LIMIT:
-        return F.get(needle_array(needles), F.get(positions(text, needles), F.lit(0)))
+        return F.get(listed(needles), F.get(positions(text, needles), F.lit(0)))
     return F.coalesce(*[F.when(F.contains(text, F.lit(n)), F.lit(n)) for n in needles])
 
 

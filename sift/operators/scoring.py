@@ -14,14 +14,13 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sift.functions.needles import positions
+from sift.functions.needles import listed, positions
 from sift.functions.text import (
     UNROLL_LIMIT,
     blank_if_null,
     contains_any,
     fingerprint,
     first_contained,
-    needle_array,
 )
 from sift.params import (
     BASE_SCORE,
@@ -73,7 +72,7 @@ def capped_bump(text: Column, skills: Sequence[str]) -> Column:
         return F.lit("")
     label = f":+{GENERIC_POINTS}"
     if len(skills) > UNROLL_LIMIT:
-        labels = needle_array([s + label for s in skills])
+        labels = listed([s + label for s in skills])
         hits = F.slice(positions(text, skills), 1, GENERIC_MAX_HITS)
         return F.array_join(F.transform(hits, lambda n: F.get(labels, n)), REASON_SEPARATOR)
     hits = [F.when(F.contains(text, F.lit(s)), F.lit(s + label)) for s in skills]
