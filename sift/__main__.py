@@ -20,7 +20,7 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 
 from sift.params import Settings
-from sift.plans.batch import batch_counts, keyword_scorer, run_feed, text_sink
+from sift.plans.batch import count_lines, keyword_scorer, run_feed, text_sink
 from sift.session import configure
 from sift.sources.collect import DROP_SOURCE, QUARANTINE, board_source, load_sources
 from sift.sources.payloads import read_payload_files, read_payload_lines
@@ -73,9 +73,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     feed = board_source(lambda s: read(s, args.landing, settings.boards), settings.boards)
     mapped, now = load_sources(spark, [feed]), datetime.now(timezone.utc)
     batch = store.begin(args.batch_id)
-    run_feed(mapped, scorer, store, batch, now, limits, sink, args.on_bad)
-    for row in batch_counts(store, batch.batch_id, [feed.name]).collect():
-        print(row.message)
+    run_feed(mapped, scorer, store, batch, now, limits, sink, args.on_bad, [feed.name])
+    print("\n".join(count_lines(batch.counts)))
 
 
 if __name__ == "__main__":

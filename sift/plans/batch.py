@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sift.operators.dedup import KEY, batch_summary
@@ -42,6 +42,7 @@ def run_feed(
     thresholds: Thresholds = Thresholds(),
     sink: Sink | None = None,
     on_bad: str = DROP_SOURCE,
+    sources: Sequence[str] = (),
 ) -> DataFrame:
     """Process mapped rows, rejects among them, as one batch.
 
@@ -50,6 +51,8 @@ def run_feed(
     narrow result is filtered by them. Under either handling the rejects are kept
     with their reasons, the first of each reason and board and how often it came.
     Without a ``batch_id`` the batch takes its place behind all that are committed.
+    The rows of the named ``sources`` are counted by the job that writes the batch, and are
+    in the ``counts`` of its ``Batch`` afterwards.
     """
     if on_bad not in (DROP_SOURCE, QUARANTINE):
         raise ValueError(f"unknown handling of bad rows: {on_bad}")
@@ -60,7 +63,12 @@ def run_feed(
     key = F.struct(F.when(~is_bad, F.col(KEY)).alias(KEY), F.when(is_bad, bad_key).alias("bad"))
     summary = batch_summary(scored.withColumn(KEY, key), ALERT_FIELDS)
     summary = summary.select(F.col(f"{KEY}.{KEY}").alias(KEY), F.col(f"{KEY}.bad.reject").alias("reject"), *summary.columns[1:])
+    counted = Observation()
+    if sources:
+        summary = summary.observe(counted, *_source_metrics(sources))
     collected = store.write(summary.withColumn("now", F.lit(now)), "collected", batch)
+    if sources:
+        batch.counts = _source_counts(counted.get, sources, on_bad)
     bad = collected.where(F.col("reject").isNotNull())
     bad = store.write(bad.select("source", "company", "ingest_seq", "reject", "n_rows"), "rejects", batch)
     sound = collected.where(F.col("reject").isNull()).drop("reject")
@@ -69,6 +77,34 @@ def run_feed(
     return _after_summary(sound, store, batch, now, thresholds, sink, "rejects")
 
 
+def _source_metrics(sources: Sequence[str]) -> list[Column]:
+    """Postings and rejects of each source, as metrics of the job that writes them.
+
+    The rows are those behind the aggregation, so a task that is run again after a loss is
+    counted once.
+    """
+    metrics = []
+    for n, name in enumerate(sources):
+        for kind, wanted in (("posts", F.col("reject").isNull()), ("rejects", F.col("reject").isNotNull())):
+            rows = F.when((F.col("source") == name) & wanted, F.col("n_rows")).otherwise(0)
+            metrics.append(F.coalesce(F.sum(rows), F.lit(0)).alias(f"{kind}_{n}"))
+    return metrics
+
+
+def _source_counts(metrics: dict, sources: Sequence[str], on_bad: str) -> dict[str, tuple[int, int]]:
+    """Postings taken in and rejects; a source that failed has none of the former."""
+    counts = {}
+    for n, name in enumerate(sources):
+        posts, rejects = metrics[f"posts_{n}"], metrics[f"rejects_{n}"]
+        counts[name] = (0 if rejects and on_bad == DROP_SOURCE else posts, rejects)
+    return counts
+
+
+def count_lines(counts: dict[str, tuple[int, int]]) -> list[str]:
+    """The counts as they are printed after a run."""
+    return [f"{name}: {posts} posts" + (f", {rejects} rejects" if rejects else "") for name, (posts, rejects) in sorted(counts.items())]
+
+
 def run_batch(
     posts: DataFrame,
     scorer: Scorer,

@@ -71,6 +71,8 @@ class Batch:
     feed_batch: int | None = None
     #: How often its commit was decided; more than once where another writer was first.
     tries: int = 0
+    #: Postings taken in and rejects of each source, as the writing job counted them.
+    counts: dict[str, tuple[int, int]] | None = None
 
 
 class SeenStore:

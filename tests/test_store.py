@@ -6,11 +6,13 @@ import threading
 
 import pytest
 from pyspark.sql import functions as F
-from test_runs import clock, given_scores, letters, state_of, store  # noqa: F401
+from test_runs import body, clock, given_scores, landing, letters, state_of, store  # noqa: F401
 
 from sift.operators.dedup import KEY, not_known
-from sift.params import Thresholds
-from sift.plans.batch import run_batch
+from sift.params import Board, RuleSet, Thresholds
+from sift.plans.batch import batch_counts, count_lines, keyword_scorer, run_batch, run_feed
+from sift.sources.collect import board_source, load_sources
+from sift.sources.payloads import read_payload_files
 from sift.state import bloom
 from sift.state.commits import CommitLog, Commits, Conflict
 from sift.state.seen import SeenStore
@@ -270,3 +272,25 @@ def test_many_known_keys_are_joined(spark, make_posts, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(f"u{n}",) for n in range(40, 80)], "fingerprint string")
     for n_rows in (40, None):
         assert sorted(r.fingerprint for r in state.filter_new(rows, 1, n_rows).collect()) == [f"u{n}" for n in range(60, 80)]
+
+
+# ---- counts of a run ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("on_bad", ["drop_source", "quarantine"])
+def test_the_writing_job_counts_the_sources(spark, landing, store, on_bad):  # noqa: F811
+    """Without a job of their own: the counts are those that are read from the logs."""
+    path = landing(one_a=body("cook", "baker", "cook"), two_a="nope", idle_a="{}")
+    names = ["sound", "broken", "idle", "absent"]
+    sources = [board_source(lambda s: read_payload_files(s, path), [Board(b)], n) for b, n in zip(("one", "two", "idle"), names)]
+    mapped = load_sources(spark, [*sources, board_source(lambda s: read_payload_files(s, path), [Board("one")], "broken")])
+    batch = store.begin()
+    run_feed(mapped, given_nothing, store, batch, clock(0), on_bad=on_bad, sources=names)
+    logged = {r.source: (r.n_posts, r.n_rejects) for r in batch_counts(store, batch.batch_id, names).collect()}
+    assert batch.counts == logged and logged["sound"] == (3, 0)
+    assert batch.counts["broken"] == ((0 if on_bad == "drop_source" else 3), 1)
+    assert count_lines(batch.counts)[0] == "absent: 0 posts" and len(count_lines(batch.counts)) == 4
+
+
+def given_nothing(posts):
+    return keyword_scorer(RuleSet())(posts)
