@@ -231,10 +231,14 @@ def resampled(docs: DataFrame, target: DataFrame, keep: list[str] | None = None,
     """
     spark = docs.sparkSession
     names = list(dict.fromkeys([*(keep or docs.columns), "doc_id"]))
-    found = weighted(docs, target, names, **parameters).withColumn("candidate", F.col("n_words") >= min_words)
+    folder = frames.scratch(spark)
+    # Written first, as the ranges are found by a reading of their own.
+    found = frames.stored(weighted(docs, target, names, **parameters), folder, "weighted")
+    found = found.withColumn("candidate", F.col("n_words") >= min_words)
     order = [F.col("candidate").desc(), F.col("score").desc(), F.col("row.doc_id").asc_nulls_last()]
     dealt = found.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    dealt = frames.stored(dealt, frames.scratch(spark), "scored")
+    dealt = frames.stored(dealt, folder, "scored")
+    frames.remove(spark, f"{folder}/weighted")
     sizes = dealt.where("candidate").groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
     wanted = percent * sum(r["n"] for r in sizes) // 100
     before, first = 0, []
