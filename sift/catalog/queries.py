@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -28,7 +27,7 @@ from sift.params import RuleSet, Thresholds
 from sift.plans import batch, replay
 from sift.plans.batch import keyword_scorer
 from sift.schema import ALERT_FIELDS
-from sift.session import configure, shared_folder
+from sift.session import configure, working_folder
 from sift.sources import boards, collect, payloads
 from sift.sources.bodies import read_split_bodies
 from sift.state.seen import (
@@ -248,8 +247,7 @@ def run_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one every executor shares."""
-    root = shared_folder(spark) or tempfile.mkdtemp(prefix="sift-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
