@@ -7,6 +7,7 @@ over (batch, arrival) is the only new one, the last gives the score.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sift.operators.routing import DIGEST, INSTANT, route_name
 from sift.params import Thresholds
-
+from sift.session import working_folder
 
 #: One cutoff is about a hundred bytes; so many batches are broadcast at most.
 MAX_BROADCAST_BATCHES = 100_000
@@ -85,7 +86,14 @@ def replay_state(
 ) -> DataFrame:
     """The seen state after all batches, with the notified flag.
 
-    The batches are counted first, from their column alone.
+    The fold is written to the shared folder, one narrow row a fingerprint, and read from
+    there for the batches' number, the digest cutoffs and the state; so ``scored`` is read
+    and folded once.
     """
-    n_batches = scored.select("batch_id").distinct().count()
-    return with_alerts(fold_batches(scored, keep, order), thresholds, order, n_batches)
+    spark = scored.sparkSession
+    folded = fold_batches(scored, keep, order)
+    path = f"{working_folder(spark)}/replay-{uuid.uuid4().hex}"
+    folded.write.parquet(path)
+    folded = spark.read.schema(folded.schema).parquet(path)
+    n_batches = folded.select("first_batch").distinct().count()
+    return with_alerts(folded, thresholds, order, n_batches)
