@@ -21,7 +21,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.llm import frames
-from sift.llm.byte_bpe import LONG_ENDINGS, NUMBER, SHORT_ENDINGS, SPACE, code_point_classes, ragged
+from sift.llm.byte_bpe import LONG_ENDINGS, NUMBER, SHORT_ENDINGS, SPACE, code_point_classes
 from sift.llm.words import chunks, span_hash, texts_of
 
 MAX_BITS = 20
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT = 256
-#: Distinct pieces whose ids a process remembers.
-KNOWN_PIECES = 1 << 17
+#: Distinct pieces whose ids a process remembers, about 30 bytes each.
+KNOWN_PIECES = 1 << 19
 #: Text tokenized at once.
 CHUNK_BYTES = 1 << 20
 
@@ -49,16 +48,17 @@ class PieceEncoder:
     """Encodes texts piece by piece; equal to the library's encoding of whole texts.
 
     The library's normalizer (NFC, lower case by code point), its split into pieces and
-    its byte alphabet are applied to all texts of a chunk; its model encodes each
-    distinct piece. With ``special``, the library's default, the file's added tokens are
+    its byte alphabet are applied to all texts of a chunk; the library encodes all new
+    pieces in one call, with spaces between, which its alphabet has not. With ``special``, the library's default, the file's added tokens are
     found in the texts as they are, before the normalizer, and have their own ids; without
     it (the library's ``encode_special_tokens``) special ones are text like any other.
     """
 
     def __init__(self, raw: str, special: bool = False) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model = Tokenizer.from_str(raw).model
+        self.pieces = Tokenizer(Tokenizer.from_str(raw).model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         added = [t for t in json.loads(raw).get("added_tokens") or [] if special or not t["special"]]
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens that are not matched literally are not supported")
@@ -67,12 +67,41 @@ class PieceEncoder:
         self.mark = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(plain)]
-        # A piece that was met lately is not encoded again.
-        self.piece = lru_cache(KNOWN_PIECES)(self._piece)
-        self.alphabet = str.maketrans({chr(b): chr(256 + k) for k, b in enumerate(rest)})
-
-    def _piece(self, text: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self.model.tokenize(text.encode("utf-8").decode("latin-1").translate(self.alphabet)))
+        self.alphabet = np.arange(256, dtype=np.uint32)
+        self.alphabet[rest] = 256 + np.arange(len(rest))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces met lately, by hash: their ids are ``flat[at:at + size]``."""
+        self.key, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.at, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> None:
+        """Encode new pieces ``data[start:end]``, and remember them."""
+        size = end - start + 1
+        upto = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(upto[-1]) + np.repeat(start - upto[:-1], size)
+        points = self.alphabet[data[np.minimum(place, len(data) - 1)]]
+        points[upto[1:] - 1] = 0x20
+        found = self.pieces.encode(points.astype("<u4").tobytes().decode("utf-32-le"), add_special_tokens=False)
+        count = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(key))
+        at = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate([self.flat, np.array(found.ids, dtype=np.int32)])
+        order = np.argsort(np.concatenate([self.key, key]), kind="stable")
+        self.key, self.at, self.size = (np.concatenate(p)[order] for p in ((self.key, key), (self.at, at), (self.size, count)))
+
+    def _places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Where each distinct piece is among the known ones, after learning the new."""
+        if len(self.key) + len(key) > KNOWN_PIECES:
+            self._forget()
+        slot = np.searchsorted(self.key, key)
+        new = np.ones(len(key), dtype=bool)
+        if len(self.key):
+            new = self.key[np.minimum(slot, len(self.key) - 1)] != key
+        if new.any():
+            self._learn(data, start[new], end[new], key[new])
+            slot = np.searchsorted(self.key, key)
+        return slot
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more: the end)."""
@@ -102,14 +131,13 @@ class PieceEncoder:
         start, end = _pieces(points)
         size = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
         byte = np.concatenate([[0], np.cumsum(size)])
-        key = span_hash(np.frombuffer(whole.encode("utf-8"), dtype=np.uint8), byte[start], byte[end])
-        _, sample, which = np.unique(key, return_index=True, return_inverse=True)
-        known = [self.piece(whole[s:e]) for s, e in zip(start[sample].tolist(), end[sample].tolist())]
-        count = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-        flat = np.fromiter((i for ids in known for i in ids), dtype=np.int32, count=int(count.sum()))
-        place, size = ragged(np.concatenate([[0], np.cumsum(count)]), which)
-        upto = np.concatenate([[0], np.cumsum(size)])
-        return flat[place], upto[np.searchsorted(start, bounds)]
+        data = np.frombuffer(whole.encode("utf-8"), dtype=np.uint8)
+        low, high = byte[start], byte[end]
+        key, sample, which = np.unique(span_hash(data, low, high), return_index=True, return_inverse=True)
+        slot = self._places(data, low[sample], high[sample], key)[which]
+        upto = np.concatenate([[0], np.cumsum(self.size[slot])])
+        place = np.arange(upto[-1]) + np.repeat(self.at[slot] - upto[:-1], self.size[slot])
+        return self.flat[place], upto[np.searchsorted(start, bounds)]
 
 
 def _pieces(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,12 +298,22 @@ def canonical(lengths: dict[int, int]) -> Code:
 
 
 def pack(ids: np.ndarray, code: Code) -> tuple[bytes, np.ndarray]:
-    """The codes of ``ids`` one after another, and the bit offset of every checkpoint."""
-    size = code.bits[ids]
-    end = np.cumsum(size)
-    shift = np.repeat(end, size) - np.arange(end[-1] if len(end) else 0) - 1
-    bit = (np.repeat(code.code[ids], size) >> shift) & 1
-    return np.packbits(bit.astype(np.uint8)).tobytes(), (end - size)[::CHECKPOINT]
+    """The codes of ``ids`` one after another, and the bit offset of every checkpoint.
+
+    Slices of ``BLOCK_TOKENS`` are spelled out at a time: a document is never split over
+    blocks, and a long one makes a long block.
+    """
+    bits, checkpoints, before = [np.zeros(0, dtype=np.uint8)], [np.zeros(0, dtype=np.int64)], 0
+    step = -(-BLOCK_TOKENS // CHECKPOINT) * CHECKPOINT
+    for lo in range(0, len(ids), step):
+        own = ids[lo : lo + step]
+        size = code.bits[own]
+        end = np.cumsum(size)
+        shift = np.repeat(end, size) - np.arange(end[-1]) - 1
+        bits.append(((np.repeat(code.code[own], size) >> shift) & 1).astype(np.uint8))
+        checkpoints.append(before + (end - size)[::CHECKPOINT])
+        before += int(end[-1])
+    return np.packbits(np.concatenate(bits)).tobytes(), np.concatenate(checkpoints)
 
 
 def unpack(payload: bytes, checkpoints: np.ndarray, n: int, code: Code) -> np.ndarray:
