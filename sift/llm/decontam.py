@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift.llm import frames
-from sift.llm.words import NOT_ALNUM, Texts, chunks, split_words, texts_of
+from sift.llm.byte_bpe import ragged
+from sift.llm.words import NOT_ALNUM, Texts, chunks, mix, split_words, texts_of
 
 WINDOW = 10
 #: Test text held by a task at once; more is searched block after block.
@@ -30,14 +31,24 @@ FIELDS = f"n_words bigint, n_hit bigint, items array<string>, matches {MATCH}"
 
 @dataclass
 class TestSet:
-    """Words of all items, a gap of one zero after each; and every window's place."""
+    """Words of all items, a gap of one zero after each; and the place of every distinct window.
+
+    Entry k says that window ``entry_window[k]`` is in item ``entry_item[k]``, first at word
+    ``entry_offset[k]``; entries are in the order of windows, those of window w are
+    ``entry_first[w]:entry_first[w + 1]``. ``follows`` has, sorted, entry times number of
+    windows plus the window that comes next in the item.
+    """
 
     names: list[str | None]
     words: np.ndarray
-    item: np.ndarray
+    item_first: np.ndarray
     place: np.ndarray
-    offset: np.ndarray
     length: np.ndarray
+    entry_window: np.ndarray
+    entry_item: np.ndarray
+    entry_offset: np.ndarray
+    entry_first: np.ndarray
+    follows: np.ndarray
 
 
 def test_set(names: list[str | None], texts: pa.Array, window: int = WINDOW) -> TestSet:
@@ -53,7 +64,20 @@ def test_set(names: list[str | None], texts: pa.Array, window: int = WINDOW) ->
     offset = np.arange(len(words.hash)) - words.first[item]
     length = np.minimum(window, count[item])
     whole = offset + length <= count[item]
-    return TestSet(names, value, item[whole], place[whole], offset[whole], length[whole])
+    item, place, offset, length = item[whole], place[whole], offset[whole], length[whole]
+    # Equal windows, of one item or of several, are searched once.
+    key = mix(length.astype(np.uint64))
+    for k in range(window):
+        here = np.where(k < length, value[np.minimum(place + k, len(value) - 1)], 0) if len(value) else key
+        key = mix(key + here.astype(np.uint64))
+    _, sample, number = np.unique(key, return_index=True, return_inverse=True)
+    entry, first, which = np.unique(number * len(names) + item, return_index=True, return_inverse=True)
+    entry_window = entry // max(1, len(names))
+    goes_on = np.flatnonzero((item[1:] == item[:-1]) & (offset[1:] == offset[:-1] + 1)) if len(item) else item
+    return TestSet(
+        names, value, words.first + np.arange(len(count) + 1), place[sample], length[sample], entry_window, item[first], offset[first],
+        np.searchsorted(entry_window, np.arange(len(sample) + 1)), np.unique(which[goes_on] * len(sample) + number[goes_on + 1]),
+    )
 
 
 def suffix_array(value: np.ndarray, depth: int) -> np.ndarray:
@@ -129,6 +153,30 @@ def occurrences(value: np.ndarray, order: np.ndarray, tests: TestSet) -> tuple[n
     return np.repeat(which, count), order[np.repeat(first, count) + steps]
 
 
+def verbatim(own: np.ndarray, run: np.ndarray, size: int, first: int) -> Iterator[tuple[int, int, int]]:
+    """A run as parts of the item ``own``: place there, place in the run, number of words.
+
+    Most runs stand at the first place of their first window. Where an item repeats itself,
+    the part that agrees longest is taken, and the next goes on with the next window.
+    """
+
+    def agree(there: int, here: int) -> int:
+        n = min(len(own) - there, len(run) - here)
+        unlike = np.flatnonzero(own[there : there + n] != run[here : here + n])
+        return int(unlike[0]) if len(unlike) else n
+
+    here = 0
+    while here + size <= len(run):
+        there, n = first, agree(first, here) if here == 0 else 0
+        if here + n < len(run):
+            last = len(own) - size + 1
+            same = np.all([own[k : last + k] == run[here + k] for k in range(size)], axis=0)
+            n, there = max((agree(p, here), -p) for p in np.flatnonzero(same).tolist())
+            there = -there
+        yield there, here, n
+        here += n - size + 1
+
+
 def matched(texts: Texts, tests: TestSet) -> tuple[np.ndarray, list[np.ndarray], list[list[dict]]]:
     """Words per text, which of them lie in a window, and the verbatim matches."""
     words = split_words(texts, NOT_ALNUM, fold=True)
@@ -150,18 +198,28 @@ def matched(texts: Texts, tests: TestSet) -> tuple[np.ndarray, list[np.ndarray],
     np.add.at(cover, at, 1)
     np.add.at(cover, at + size, -1)
     hit = np.cumsum(cover) > 0
-    # Windows of one item that follow each other are one verbatim match.
-    shift = at - tests.offset[which]
-    by = np.lexsort((at, shift, tests.item[which]))
-    which, at, size, shift = which[by], at[by], size[by], shift[by]
-    item = tests.item[which]
+    # Every item that has the window: at one place an item has one window at most.
+    entry, n_items = ragged(tests.entry_first, which)
+    at = np.repeat(at, n_items)
+    item = tests.entry_item[entry]
+    by = np.lexsort((at, item))
+    entry, at, item = entry[by], at[by], item[by]
+    window, size = tests.entry_window[entry], tests.length[tests.entry_window[entry]]
+    # Windows that follow each other in the text and in the item are one verbatim match.
+    step = entry[:-1] * len(tests.place) + window[1:]
+    slot = np.minimum(np.searchsorted(tests.follows, step), max(0, len(tests.follows) - 1))
+    goes_on = (item[1:] == item[:-1]) & (at[1:] == at[:-1] + 1)
+    goes_on &= tests.follows[slot] == step if len(tests.follows) else False
     fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] > at[:-1] + 1)
+    fresh[1:] = ~goes_on
     head = np.flatnonzero(fresh)
     tail = np.append(head[1:], len(at)) - 1 if len(head) else head
     inside = np.searchsorted(gap, at[head])
     for a, b, d in zip(head, tail, inside):
-        matches[d].append({"item_id": tests.names[item[a]], "item_word": int(tests.offset[which[a]]), "word": int(at[a] - begin[d]), "n_words": int(at[b] + size[b] - at[a])})
+        own = tests.words[tests.item_first[item[a]] : tests.item_first[item[a] + 1] - 1]
+        run = value[at[a] : at[b] + size[b]]
+        for there, here, n in verbatim(own, run, int(size[a]), int(tests.entry_offset[entry[a]])):
+            matches[d].append({"item_id": tests.names[item[a]], "item_word": there, "word": int(at[a] - begin[d]) + here, "n_words": n})
     return count, [hit[b:g] for b, g in zip(begin, gap)], matches
 
 
@@ -196,7 +254,8 @@ def contamination(docs: DataFrame, test: DataFrame, keep: list[str] | None = Non
     ``row`` holds the columns ``keep`` (all, if not given) as a struct, so their names
     cannot clash. ``n_hit`` counts words inside any occurrence of a window of ``test``
     (``item_id, text``), ``items`` has the sorted ids with an occurring window, and
-    ``matches`` the maximal verbatim matches with their places. A null or empty text
+    ``matches`` verbatim matches with their places that hold all of these words, each
+    the longest that begins there. A null or empty text
     has no words. Items of null or blank text match nothing; an item without an id is
     found but not named; items of one id count once. Without documents there are no
     rows; without items nothing is hit.

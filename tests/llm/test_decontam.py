@@ -76,3 +76,34 @@ def test_no_items_and_no_documents(spark, documents):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.decontaminated(documents(*ODD), none).count() == len(ODD)
     assert decontam.contamination(documents(), none).count() == 0
+
+
+def test_an_item_that_repeats_itself(spark, documents):
+    """Windows that occur again and again: all words hit, matches verbatim, memory in proportion."""
+    import tracemalloc
+
+    item, text = "a " * 800 + "b " + "c d e f " * 40, "x " + "a " * 80_000 + "c d e f " * 300
+    tracemalloc.start()
+    found = documents(text)
+    test = spark.createDataFrame([(1, item), (2, item), (3, "a " * 12)], "item_id bigint, text string")
+    tests = decontam.test_set(["1", "2", "3"], decontam.pa.array([item, item, "a " * 12]))
+    count, hits, (matches,) = decontam.matched(decontam.texts_of(decontam.pa.array([text])), tests)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    words, items = words_of(text), {"1": words_of(item), "2": words_of(item), "3": ["a"] * 12}
+    covered = {i: set() for i in items}
+    for m in matches:
+        assert words[m["word"] : m["word"] + m["n_words"]] == items[m["item_id"]][m["item_word"] : m["item_word"] + m["n_words"]]
+        covered[m["item_id"]].update(range(m["word"], m["word"] + m["n_words"]))
+    assert len(matches) < 30_000 and hits[0].sum() == len(words) - 1 == len(covered["1"]) == len(covered["2"]) and len(covered["3"]) == 80_000
+    (row,) = decontam.contamination(found, test).collect()
+    assert (row.n_words, row.n_hit, row["items"]) == (len(words), len(words) - 1, ["1", "2", "3"])
+
+
+def test_a_run_that_passes_between_places_of_an_item():
+    window = " ".join(f"w{n}" for n in range(10))
+    item, text = f"{window} x {window} y", f"q {window} y {window} x {window}"
+    tests = decontam.test_set(["1"], decontam.pa.array([item]))
+    _, hits, (matches,) = decontam.matched(decontam.texts_of(decontam.pa.array([text])), tests)
+    assert hits[0].sum() == 32
+    assert [(m["item_word"], m["word"], m["n_words"]) for m in matches] == [(11, 1, 11), (0, 12, 21)]
