@@ -28,6 +28,20 @@ def boards_frame(spark: SparkSession, boards: Sequence[Board]) -> DataFrame:
     return F.broadcast(frame) if len(rows) <= MAX_BROADCAST_BOARDS else frame
 
 
+def boards_table(table: DataFrame) -> DataFrame:
+    """Boards kept as a table with ``token, company, board_ord``, however many.
+
+    A board without a company has its token's name; one without a place in the order is not
+    collected. As the table is a filtered one, its join with landed folders prunes these
+    when the query runs: tokens are not put into the plan. It is broadcast only where it
+    was counted to be short, and the pruning needs that.
+    """
+    listed = table.where(F.col("board_ord") >= 0)
+    named = listed.select("token", F.coalesce("company", "token").alias("company"), F.col("board_ord").cast("int").alias("board_ord"))
+    few = named.limit(MAX_BROADCAST_BOARDS + 1).count() <= MAX_BROADCAST_BOARDS
+    return F.broadcast(named) if few else named
+
+
 def join_boards(payloads: DataFrame, boards: DataFrame) -> DataFrame:
     """Payloads of configured boards, once per time a board is listed."""
     return payloads.join(boards, "token")

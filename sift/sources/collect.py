@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from sift.operators import mapping
 from sift.params import DEFAULT_SOURCE, Board
 from sift.schema import POSTING
-from sift.sources.boards import boards_frame, join_boards, with_ingest_seq
+from sift.sources.boards import boards_frame, boards_table, join_boards, with_ingest_seq
 from sift.sources.payloads import job_rows
 
 log = logging.getLogger("sift")
@@ -36,13 +36,17 @@ class Source:
 
 def board_source(
     landed: Callable[[SparkSession], DataFrame],
-    boards: Sequence[Board],
+    boards: Sequence[Board] | DataFrame,
     name: str = DEFAULT_SOURCE,
 ) -> Source:
-    """Landed payloads of the given boards as a source."""
+    """Landed payloads of the given boards, a list or a table, as a source.
+
+    With a table, give ``landed`` no list of boards: the join prunes the folders.
+    """
 
     def load(spark: SparkSession, source_ord: int) -> DataFrame:
-        payloads = join_boards(landed(spark), boards_frame(spark, boards))
+        frame = boards_table(boards) if isinstance(boards, DataFrame) else boards_frame(spark, boards)
+        payloads = join_boards(landed(spark), frame)
         jobs = with_ingest_seq(job_rows(payloads), source_ord)
         return mapping.map_jobs(jobs, name)
 
