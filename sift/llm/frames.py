@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sift.session import shared_folder
+from sift.session import working_folder
 
 
 #: Rows are handed to Python in batches of about so many bytes, however long they are.
@@ -19,18 +18,20 @@ BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let batches end by their bytes, which bounds the memory of workers and executors."""
+    """Let batches end by their bytes, which bounds the memory of workers and executors.
+
+    The setting stays with the session: it is read when a query runs, after it was made.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the one every executor shares.
 
-    A temporary folder stands in only where the session names none, as in tests.
+    Where the session names none, a temporary folder stands in on a single machine only.
     """
     bound_batches(spark)
-    root = shared_folder(spark) or tempfile.mkdtemp(prefix="sift-")
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    return f"{working_folder(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, folder: str, name: str, few: bool = False) -> DataFrame:

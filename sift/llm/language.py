@@ -9,6 +9,7 @@ decides.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,15 +19,13 @@ from pyspark.sql import functions as F
 
 from sift.llm import frames
 from sift.llm.byte_bpe import LETTER, code_point_classes
-from sift.llm.words import Texts, mix, texts_of
+from sift.llm.words import Texts, chunks, mix, texts_of
 
 GRAMS = (3, 4)
 SLOTS_LOG2 = 19
 HASHES = 3
-#: Labelled documents per language that the filters are learned from at most.
+#: Labelled documents per language that the filters are learned from at most, whole.
 DOCS_PER_LANGUAGE = 1000
-#: Characters of one document that are learned from at most; predictions read whole texts.
-LEARNED_CHARS = 200_000
 #: An n-gram enters a filter if its share there is this large, and not this many
 #: times smaller than its largest share in any language.
 LEAST_SHARE = 2e-6
@@ -105,52 +104,94 @@ class Filters:
         return np.where(lettered, best, -1), np.where(lettered, score, 0.0)
 
 
-def learn(samples: dict[str, Texts]) -> Filters:
-    """Filters from the texts of every language; languages in order of their names."""
-    languages = sorted(samples)
-    shares = []
-    for language in languages:
-        hashes = np.concatenate([h for h, _ in grams_of(samples[language])])
-        key, count = np.unique(hashes, return_counts=True)
-        shares.append((key, count / max(1, len(hashes))))
-    every = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(key for key, _ in shares)]))
-    most = np.zeros(len(every))
-    for key, share in shares:
-        at = np.searchsorted(every, key)
-        most[at] = np.maximum(most[at], share)
+def _filters(grams: dict[str, np.ndarray]) -> Filters:
+    """Filters that hold the given n-grams of each language; languages in order of their names."""
+    languages = sorted(grams)
     bits = np.zeros((1 << SLOTS_LOG2, max(1, -(-len(languages) // 64))), dtype=np.uint64)
     wrong = np.zeros(len(languages))
-    for l, (key, share) in enumerate(shares):
-        inside = key[(share >= LEAST_SHARE) & (share >= LEAST_RATIO * most[np.searchsorted(every, key)])]
+    for l, language in enumerate(languages):
         bit = _U(1) << _U(l % 64)
-        for slot in _slots(inside):
+        for slot in _slots(grams[language]):
             bits[slot, l // 64] |= bit
         wrong[l] = ((bits[:, l // 64] & bit) > 0).mean() ** HASHES
     return Filters(languages, bits, wrong)
 
 
+def learn(samples: dict[str, Texts]) -> Filters:
+    """Filters from the texts of every language."""
+    shares = {}
+    for language, texts in samples.items():
+        hashes = np.concatenate([h for h, _ in grams_of(texts)])
+        key, count = np.unique(hashes, return_counts=True)
+        shares[language] = (key, count / max(1, len(hashes)))
+    every = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(key for key, _ in shares.values())]))
+    most = np.zeros(len(every))
+    for key, share in shares.values():
+        at = np.searchsorted(every, key)
+        most[at] = np.maximum(most[at], share)
+    return _filters({l: k[(s >= LEAST_SHARE) & (s >= LEAST_RATIO * most[np.searchsorted(every, k)])] for l, (k, s) in shares.items()})
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that nothing is learned from: a fifth, by the checksum of the id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def sampled(rows: DataFrame, group: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows of each group, those with the smallest hash of ``doc_id``; ``at`` numbers them.
+
+    Rows are counted first. Hashes that are too large to be among the smallest are left out
+    where they are read, so the task of a group sorts a few thousand rows, whatever the
+    group's share of the table or the number of tasks. There are few groups.
+    """
+    counted = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(counted.collect(), counted.schema))
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)
+    few = rows.join(sizes, group).where(place <= F.lit(4.0 * limit) / F.col("_n")).drop("_n")
+    own = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return few.distinct().withColumn("at", F.row_number().over(own)).where(F.col("at") <= limit)
+
+
+def _gram_counts(rows: DataFrame) -> DataFrame:
+    """``lang, gram, n``: how often each n-gram occurs in the texts of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, part in chunks(texts_of(batch.column(1))):
+                names = batch.column(0).slice(lo, hi - lo).dictionary_encode()
+                text = names.indices.to_numpy()
+                for hashes, first in grams_of(part):
+                    language = np.repeat(text, np.diff(first))
+                    for l, name in enumerate(names.dictionary.to_pylist()):
+                        key, n = np.unique(hashes[: len(language)][language == l], return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    counts = rows.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint")
+    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def learned(docs: DataFrame) -> Filters:
     """Filters from ``text`` and non-null ``lang`` of rows that are not held out.
 
-    At most ``DOCS_PER_LANGUAGE`` documents of a language are read, those with the
-    smallest hash of their id. The top rows per language come from a row number whose
-    limit is applied before the shuffle (Spark does so up to 1,000), so a language
-    with most rows is no hot key.
+    At most ``DOCS_PER_LANGUAGE`` documents of a language are read, whole, those with the
+    smallest hash of their id. Their n-grams are counted by tasks; what reaches the driver
+    are the n-grams of each filter, at most one over ``LEAST_SHARE`` a language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.distinct().withColumn("at", F.row_number().over(own)).where(F.col("at") <= DOCS_PER_LANGUAGE).select("doc_id", "lang")
+    chosen = sampled(known, "lang", DOCS_PER_LANGUAGE).select("doc_id", "lang")
     rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "doc_id")
-    rows = rows.agg(F.max(F.substring("text", 1, LEARNED_CHARS)).alias("text"))
-    texts: dict[str, list[str]] = {}
-    for row in rows.toLocalIterator():
-        texts.setdefault(row["lang"], []).append(row["text"])
-    return learn({language: texts_of(pa.array(own, pa.string())) for language, own in texts.items()})
+    rows = rows.agg(F.max(F.col("text").cast("string")).alias("text"))
+    frames.bound_batches(docs.sparkSession)
+    counts = frames.stored(_gram_counts(rows), frames.scratch(docs.sparkSession), "grams", few=True)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
+    most = shares.groupBy("gram").agg(F.max("share").alias("most"))
+    kept = shares.where(F.col("share") >= LEAST_SHARE).join(most, "gram").where(F.col("share") >= F.lit(LEAST_RATIO) * F.col("most"))
+    # One without n-grams is a language all the same.
+    grams: dict[str, list[int]] = {row["lang"]: [] for row in chosen.select("lang").distinct().collect()}
+    for row in kept.select("lang", "gram").toLocalIterator():
+        grams[row["lang"]].append(row["gram"])
+    return _filters({language: np.array(own, dtype=np.int64).view(np.uint64) for language, own in grams.items()})
 
 
 def identified(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -> DataFrame:
