@@ -16,12 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sift.llm import frames
 from sift.llm.byte_bpe import ragged
-from sift.llm.language import held_out
+from sift.llm.language import held_out, sampled
 from sift.llm.words import LOWER, NOT_ALNUM, Texts, chunks, mix, span_hash, split_words, texts_of
 
 WINDOW = 32
@@ -29,10 +29,11 @@ STRIDE = 16
 WORD_BUCKETS_LOG2, CHAR_BUCKETS_LOG2 = 14, 15
 WORD_SIZE, CHAR_SIZE, HIDDEN, ATTENTION = 8, 16, 12, 12
 BYTE_GRAMS = (3, 4, 5, 6)
-#: Documents of each label that the network learns from at most, and windows of one.
+#: Documents of each label that the network learns from at most, the bytes of all of them
+#: together, and of one. They are read whole; a longer one is not in the sample.
 DOCS_PER_LABEL = 1000
-#: Characters of one document that are learned from at most; scores read whole texts.
-LEARNED_CHARS = 200_000
+LEARNED_BYTES, LONGEST_BYTES = 32 << 20, 4 << 20
+#: Windows of one document that an epoch draws at random, besides those of highest score.
 WINDOWS_PER_DOC = 6
 EPOCHS = 6
 BATCH = 256
@@ -313,17 +314,20 @@ def learned(docs: DataFrame, labels: DataFrame) -> Network:
     """A network from labelled documents (``doc_id, toxic``) that are not held out.
 
     At most ``DOCS_PER_LABEL`` of either label are read, those with the smallest hash of
-    their id; the limit is applied before the shuffle. Null labels and ids are left out;
-    of contradicting labels the higher counts. Repeated ids give one text.
+    their id, and ``LEARNED_BYTES`` of text. Null labels and ids are left out; of
+    contradicting labels the higher counts. Repeated ids give one text.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    own = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("at", F.row_number().over(own)).where(F.col("at") <= DOCS_PER_LABEL)
-    texts = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, LEARNED_CHARS).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "at").agg(F.max("text").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= LONGEST_BYTES)
+    rows = texts.join(F.broadcast(sampled(known, "toxic", DOCS_PER_LABEL)), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", "at").agg(F.max("text").alias("text"))
+    sample, room = [], {True: LEARNED_BYTES, False: LEARNED_BYTES}
     # Labels take turns, so that the part that calibrates has both.
-    sample = sorted(rows.collect(), key=lambda r: (r["at"], r["toxic"]))
+    for row in rows.orderBy("at", "toxic").toLocalIterator():
+        room[row["toxic"]] -= len(row["text"].encode())
+        if room[row["toxic"]] >= 0:
+            sample.append(row)
     return train(texts_of(pa.array([r["text"] for r in sample], pa.string())), np.array([r["toxic"] for r in sample], dtype=bool))
 
 

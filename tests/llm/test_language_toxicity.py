@@ -120,3 +120,47 @@ def test_labels_of_one_kind(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert all(r.score < 0.5 for r in toxicity.scored(docs, toxicity.learned(docs, none)).collect())
     assert toxicity.scored(documents(), toxicity.learned(docs, none)).count() == 0
+
+
+def test_filters_are_those_of_all_texts_at_once(spark):
+    """Counted by tasks and by language, the n-grams are those of the texts taken together; texts are learned whole."""
+    rng = random.Random(5)
+    table = [(n, sentence(rng, lang, rng.randrange(1, 60)), lang) for n, lang in enumerate(rng.choices(sorted(SYLLABLES), k=200))]
+    table += [(900, "x " * 300_000 + "zzyzx " * 500, "aa"), (901, "123", "dd"), (902, "", "dd")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, lang string").repartition(5)
+    import zlib
+
+    own = {}
+    for n, text, lang in table:
+        if zlib.crc32(str(n).encode()) % 5:
+            own.setdefault(lang, []).append(text)
+    expected, found = language.learn({k: texts_of(pa.array(v)) for k, v in own.items()}), language.learned(docs)
+    assert found.languages == expected.languages and (found.bits == expected.bits).all() and (found.wrong == expected.wrong).all()
+    # By plain counting: what is predicted is the language with most n-grams in its filter.
+    for text in [t for _, t, _ in table[:40]]:
+        best, score = found.predict(texts_of(pa.array([text])))
+        grams = language.grams_of(texts_of(pa.array([text])))
+        counts = sum(found.counts(h, first)[0] for h, first in grams)
+        total = sum(len(h[: first[-1]]) for h, first in grams)
+        share = np.maximum(counts - total * found.wrong, 0) / (1 - found.wrong) / max(1, total)
+        assert not total or (best[0] == share.argmax() and abs(score[0] - min(1, share.max())) < 1e-12)
+
+
+def test_a_sample_has_the_smallest_hashes_of_each_group(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") < 40, "rare").otherwise("cold").alias("lang"))
+    found = language.sampled(rows.unionByName(rows.limit(500)), "lang", 100).collect()
+    order = {g: [r.doc_id for r in rows.where(F.col("lang") == g).orderBy(F.xxhash64("doc_id")).limit(100).collect()] for g in ("hot", "rare", "cold")}
+    for group, ids in order.items():
+        assert [r.doc_id for r in sorted(found, key=lambda r: r["at"]) if r.lang == group] == ids
+    assert len(order["rare"]) == 8
+
+
+def test_texts_are_learned_whole_or_not_at_all(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append((texts.end - texts.start, toxic)))
+    monkeypatch.setattr(toxicity, "LONGEST_BYTES", 5000)
+    monkeypatch.setattr(toxicity, "LEARNED_BYTES", 20_000)
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), F.when(F.col("id") % 7 == 0, 6000).otherwise(1000).cast("int")).alias("text"))
+    toxicity.learned(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    ((sizes, toxic),) = seen
+    assert set(sizes.tolist()) == {1000} and 0 < toxic.sum() <= 20 and 0 < (~toxic).sum() <= 20
