@@ -13,9 +13,10 @@ _COMMON = (
 )
 
 # Named parts of every accepted form, basic and extended, calendar and week date.
-# One stray character is let through before an offset.
+# One stray character is let through before an offset. Digits that run on after a basic
+# week date belong to the time, the first of them parting both: an odd number remains.
 _CALENDAR = r"(\d{4})(-?)(\d{2})\2(\d{2})"
-_WEEK = r"(\d{4})(-?)W(\d{2})(?:\6([1-7]))?(?!\d)"
+_WEEK = r"(\d{4})(-?)W(\d{2})(?:\6([1-7]))?(?:(?!\d)|(?<!-\d)(?=\d(?:\d\d)*(?!\d)))"
 _CLOCK = r"(\d{2})(?:(:?)(\d{2})(?:\10(\d{2}))?)?(?:(?:[.,]|(?<=:\d\d:\d\d):)(\d+))?"
 _OFFSET = r"([+-])(\d{2})(?:(:?)(\d{2})(?:\16(\d{2}))?)?(?:[.,](\d+))?"
 _STRAY = r"(?:(?<![.,]\d{1,5}).)"

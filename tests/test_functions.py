@@ -70,3 +70,29 @@ def test_strip_takes_every_white_space_character(spark):
     texts = [f"{chr(c)}a{chr(c)}b{chr(c)}" for c in range(1, 0x3100)]
     rows = spark.createDataFrame([(t,) for t in texts], "v string").select("v", strip(F.col("v")))
     assert [r.v for r in rows.collect() if r[1] != r.v.strip()] == []
+
+
+def test_week_dates_with_any_separator(spark):
+    """A digit after a week date may part it from the time, as the standard library reads it."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    texts = ["2024W011503", "2024W0115030", "2024-W01-1503", "2024-W01-15:30", "2024W01150304", "2024W0110203+01:00", "2024W01102", "2024W018", "2024W0181"]
+    for _ in range(3000):
+        date = f"{rng.randrange(2019, 2026)}{rng.choice(['', '-'])}W{rng.randrange(1, 54):02}" + rng.choice(["", "-", ""]) + rng.choice(["", str(rng.randrange(10))])
+        time = "".join(rng.choices("0123456789", k=rng.randrange(7))) if rng.random() < 0.7 else f"{rng.randrange(24):02}:{rng.randrange(60):02}"
+        text = date + rng.choice(["", "T", " ", "5", "0", "-"]) + time
+        # Digits past the seconds without a point are an accident of that parser.
+        texts += [] if re.search(r"-\d{8}$", text) else [text]
+
+    def expected(text):
+        try:
+            read = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return (read if read.tzinfo else read.replace(tzinfo=timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.date_format(parse_utc(F.col("t")), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("p")).collect()
+    assert [(r.t, r.p) for r in rows if r.p != expected(r.t)] == []
+    assert sum(r.p is not None for r in rows) > 300
