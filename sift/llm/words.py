@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Longer spans are hashed from their bytes: modulo a power of two, running sums give
 #: different long words of a regular pattern one value (Thue-Morse words of 1,024 letters).
 LONG_SPAN = 256
