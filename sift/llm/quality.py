@@ -2,13 +2,14 @@
 
 The statistics of a document are counts over its whole text. The forest sees ratios
 of them: random splits isolate an unusual document after few steps, so a short mean
-path over all trees marks an anomaly. The forest is grown on a bounded sample of
-labelled rows, and the path length below which a document is rejected is calibrated
-on the labels of another part of that sample.
+path over all trees marks an anomaly. All labelled rows take part, counted by tasks:
+one half grows the forest, and the path length below which a document is rejected is
+calibrated on the labels of the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +29,13 @@ REPEAT_WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_upper", "n_marks", "n_distinct")
 FIELDS = ", ".join(f"{name} bigint" for name in COUNTS)
 
-#: Labelled rows used at most: half to grow the forest, half to calibrate it.
-SAMPLE_ROWS = 8192
 TREES = 128
+#: Rows of a tree of the method; paths are means over all draws of so many.
 TREE_ROWS = 128
 DEPTH = 12
+FEATURES = 9
+#: Rows that walk down all trees at once.
+WALK_ROWS = 1024
 #: Share of good labelled rows that the threshold may reject.
 FALSE_REJECTS = 0.001
 
@@ -118,16 +121,20 @@ class Forest:
 
     def mean_path(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, split, left, path in zip(self.feature, self.split, self.left, self.path):
-            at = np.zeros(len(x), dtype=np.int64)
+        root = np.arange(len(self.feature))[:, None] * self.feature.shape[1]
+        feature, split, left, path = (v.ravel() for v in (self.feature, self.split, self.left, self.path))
+        for lo in range(0, len(x), WALK_ROWS):
+            own = x[lo : lo + WALK_ROWS]
+            rows, at = np.arange(len(own)), np.repeat(root, len(own), axis=1)
             while True:
                 f = feature[at]
                 if (f < 0).all():
                     break
-                down = left[at] + (x[rows, f] >= split[at])
+                down = root + left[at] + (own[rows, f] >= split[at])
                 at = np.where(f < 0, at, down)
-            total += path[at]
+            # Tree by tree, so that a row's sum does not depend on the rows beside it.
+            for one in path[at]:
+                total[lo : lo + WALK_ROWS] += one
         return total / len(self.feature)
 
     def anomaly(self, x: np.ndarray) -> np.ndarray:
@@ -140,8 +147,32 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2.0 * (np.log(n - 1) + np.euler_gamma) - 2.0 * (n - 1) / n
 
 
-def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) -> Forest:
-    """``TREES`` trees over ``TREE_ROWS`` rows at most, ``DEPTH`` splits deep at most.
+@dataclass
+class Splits:
+    """Whole binary trees ``DEPTH`` splits deep; the children of node ``i`` are ``2i + 1`` and ``2i + 2``."""
+
+    feature: np.ndarray
+    split: np.ndarray
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """How many rows end in each leaf, by tree."""
+        inner = self.feature.shape[1]
+        root = np.arange(len(self.feature))[:, None] * inner
+        feature, split = self.feature.ravel(), self.split.ravel()
+        total = np.zeros(len(self.feature) * (inner + 1), dtype=np.int64)
+        for lo in range(0, len(x), WALK_ROWS):
+            own = x[lo : lo + WALK_ROWS]
+            rows, at = np.arange(len(own)), np.zeros((len(self.feature), len(own)), dtype=np.int64)
+            for _ in range(DEPTH):
+                at = 2 * at + 1 + (own[rows, feature[root + at]] >= split[root + at])
+            # Before the leaves of a tree there are ``inner`` nodes, and ``inner + 1`` are its leaves.
+            at += np.arange(len(self.feature))[:, None] * (inner + 1) - inner
+            total += np.bincount(at.ravel(), minlength=len(total))
+        return total.reshape(len(self.feature), -1)
+
+
+def drawn(low: np.ndarray, high: np.ndarray, seed: int = 7) -> Splits:
+    """``TREES`` trees of splits.
 
     A split is drawn from the box that the splits above leave of ``low`` to ``high``,
     not from the rows in it: where ordinary rows have a rule at zero, a row far from
@@ -149,49 +180,92 @@ def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) -> For
     """
     rng = np.random.default_rng(seed)
     wide = np.flatnonzero(high > low)
-    trees = []
-    for _ in range(TREES):
-        rows = rng.choice(len(x), min(TREE_ROWS, len(x)), replace=False)
-        feature, split, left, path = [-1], [0.0], [0], [0.0]
-        todo = [(0, rows, 0, low, high)]
-        while todo:
-            node, own, depth, least, most = todo.pop()
-            if depth >= DEPTH or len(own) < 2 or not len(wide):
-                path[node] = depth + _expected(len(own))
-                continue
-            f = rng.choice(wide)
-            at = rng.uniform(least[f], most[f])
-            feature[node], split[node], left[node] = f, at, len(feature)
-            below, above = most.copy(), least.copy()
-            below[f] = above[f] = at
-            down = x[own, f] < at
-            for part, box in ((own[down], (least, below)), (own[~down], (above, most))):
-                todo.append((len(feature), part, depth + 1, *box))
-                feature.append(-1), split.append(0.0), left.append(0), path.append(0.0)
-        trees.append((feature, split, left, path))
-    width = max(len(t[0]) for t in trees)
-    pad = lambda k, fill: np.array([t[k] + [fill] * (width - len(t[k])) for t in trees])
-    return Forest(pad(0, -1), pad(1, 0.0), pad(2, 0), pad(3, 0.0))
-
-
-def calibrated(x: np.ndarray, good: np.ndarray, order: np.ndarray, seed: int = 7) -> Forest:
-    """A forest grown on good rows of one half; its threshold leaves those of the other alone.
-
-    With fewer than 16 good rows or no bad one to calibrate on, nothing is rejected.
+    if not len(wide):
+        wide = np.arange(len(low))
+    features, splits = [], []
+    least, most = np.tile(low, (TREES, 1, 1)), np.tile(high, (TREES, 1, 1))
+    for depth in range(DEPTH):
+        f = rng.choice(wide, (TREES, 1 << depth))
+        pick = lambda box: np.take_along_axis(box, f[:, :, None], axis=2)[:, :, 0]
+        at = rng.uniform(pick(least), pick(most))
+        features.append(f.astype(np.int8)), splits.append(at)
+        below, above = most.copy(), least.copy()
+        np.put_along_axis(below, f[:, :, None], at[:, :, None], axis=2)
+        np.put_along_axis(above, f[:, :, None], at[:, :, None], axis=2)
+        least = np.stack([least, above], axis=2).reshape(TREES, -1, len(low))
+        most = np.stack([below, most], axis=2).reshape(TREES, -1, len(low))
+    return Splits(np.concatenate(features, axis=1), np.concatenate(splits, axis=1))
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 32)))])
+    m = np.maximum(n, 31).astype(np.float64)
+    large = m * np.log(m) - m + 0.5 * np.log(2 * np.pi * m) + 1 / (12 * m) - 1 / (360 * m**3) + 1 / (1260 * m**5)
+    return np.where(n < 32, small[np.minimum(n, 31)], large)
+
+
+def _draws(counts: np.ndarray, rows: int, most: int) -> np.ndarray:
+    """How likely a draw of ``TREE_ROWS`` of all rows holds 0 to ``most`` of the rows of a node, by node."""
+    size = min(TREE_ROWS, rows)
+
+    def ways(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        can = (k >= 0) & (k <= n)
+        n, k = np.where(can, n, 0), np.where(can, k, 0)
+        return np.where(can, _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k), -np.inf)
+
+    own, k = counts[:, None], np.arange(min(most, size) + 1)[None, :]
+    return np.exp(ways(own, k) + ways(rows - own, size - k) - ways(np.array(rows), np.array(size)))
+
+
+def pruned(trees: Splits, leaves: np.ndarray) -> Forest:
+    """The forest of all rows that ``leaves`` counts.
+
+    A tree of the method is grown over ``TREE_ROWS`` rows and splits a node that holds two
+    of them. Its path lengths here are the means over all draws of that many rows, which
+    follow from the counts of all rows: each split adds how likely a draw makes it.
     """
-    fit, test = order % 2 == 0, order % 2 == 1
-    if (fit & good).sum() < 2 or (test & good).sum() < 16 or not (test & ~good).any():
-        return Forest(*(np.array([[v]]) for v in (-1, 0.0, 0, 0.0)), threshold=-1.0)
-    forest = grow(x[fit & good], x[fit].min(axis=0), x[fit].max(axis=0), seed)
-    path = forest.mean_path(x[test])
-    safe, bad = np.sort(path[good[test]]), path[~good[test]]
-    limit = safe[int(FALSE_REJECTS * len(safe))]
-    below = bad[bad < limit]
-    # Halfway between the good rows that must stay and the bad rows beyond them.
-    forest.threshold = float((limit + below.max()) / 2) if len(below) else -1.0
+    rows = int(leaves[0].sum())
+    levels = [leaves]
+    while levels[0].shape[1] > 1:
+        levels.insert(0, levels[0].reshape(len(leaves), -1, 2).sum(axis=2))
+    count = np.concatenate(levels, axis=1)
+    inner = trees.feature.shape[1]
+    known, which = np.unique(count[:, :inner], return_inverse=True)
+    splits = np.maximum(1 - _draws(known, rows, 1).sum(axis=1), 0.0)
+    splits[known < 2] = 0.0
+    known, last = np.unique(leaves, return_inverse=True)
+    beyond = np.array([_expected(n) for n in range(min(TREE_ROWS, rows) + 1)])
+    rest = np.concatenate([_draws(known[lo : lo + WALK_ROWS], rows, TREE_ROWS) @ beyond for lo in range(0, len(known), WALK_ROWS)])
+    passed = np.concatenate([splits[which].reshape(len(leaves), inner), rest[last].reshape(leaves.shape)], axis=1)
+    path = np.zeros(count.shape)
+    for at in range(count.shape[1]):
+        path[:, at] = passed[:, at] + (path[:, (at - 1) // 2] if at else 0.0)
+    # What stays are the nodes whose parent holds two rows, in the order of the whole tree.
+    split = np.concatenate([count[:, :inner] >= 2, np.zeros(leaves.shape, dtype=bool)], axis=1)
+    stays = np.concatenate([np.ones((len(leaves), 1), dtype=bool), split[:, (np.arange(1, count.shape[1]) - 1) // 2]], axis=1)
+    place = np.cumsum(stays, axis=1) - 1
+    width = int(stays.sum(axis=1).max())
+    forest = Forest(np.full((len(leaves), width), -1, dtype=np.int8), np.zeros((len(leaves), width)), np.zeros((len(leaves), width), dtype=np.int16), np.zeros((len(leaves), width)))
+    tree, at = np.nonzero(stays)
+    own = place[tree, at]
+    forest.path[tree, own] = path[tree, at]
+    tree, at = np.nonzero(split)
+    own = place[tree, at]
+    forest.feature[tree, own], forest.split[tree, own] = trees.feature[tree, at], trees.split[tree, at]
+    forest.left[tree, own] = place[tree, 2 * at + 1]
     return forest
 
 
+def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) -> Forest:
+    """The forest of the rows ``x``, within the box from ``low`` to ``high``."""
+    trees = drawn(low, high, seed)
+    return pruned(trees, trees.leaves(x))
+
+
+def keeps_all() -> Forest:
+    return Forest(*(np.array([[v]]) for v in (-1, 0.0, 0, 0.0)), threshold=-1.0)
+
+
 def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``row`` and the rule counts of every document."""
 
@@ -206,22 +280,83 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Forest:
-    """A forest from at most ``SAMPLE_ROWS`` labelled documents that pass the base rules.
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The features ``x0``, ``x1``, ... of every labelled document that passes the base rules.
 
-    The sample takes the rows of ``labels`` (``doc_id, quality``) with the smallest hash
-    of their id, so it does not depend on partitions. Labels or ids that are null are
-    left out; of contradicting labels the lower counts, of texts that share an id one.
+    ``good`` is its label, ``fit`` its half, by a hash of its id. Labels (``doc_id,
+    quality``) or ids that are null are left out; of contradicting labels the lower
+    counts, of texts that share an id one. Texts are counted where they are: what is
+    joined are their counts.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    order = F.xxhash64("doc_id")
-    chosen = known.withColumn("at", order).orderBy("at", "doc_id").limit(SAMPLE_ROWS)
-    rows = counted(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "quality", "at"])
-    rows = rows.where(~base_failed()).groupBy("row").agg(F.min(F.struct(*COUNTS)).alias("c")).select("row.*", "c.*")
-    sample = rows.toPandas().sort_values(["at", "doc_id"])
-    counts = {name: sample[name].to_numpy() for name in COUNTS}
-    good = (sample["quality"] >= 1).to_numpy(dtype=bool)
-    return calibrated(features(counts), good, np.arange(len(sample)))
+    rows = counted(docs.select("doc_id", "text"), ["doc_id"]).where(~base_failed()).select("row.doc_id", *COUNTS)
+    rows = rows.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("c"))
+    fit = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    rows = rows.select((F.col("quality") >= 1).alias("good"), fit.alias("fit"), "c.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features({name: batch.column(name).to_numpy(zero_copy_only=False) for name in COUNTS})
+            yield pa.RecordBatch.from_arrays([batch.column("good"), batch.column("fit"), *map(pa.array, x.T)], names=["good", "fit", *_VECTOR])
+
+    return rows.mapInArrow(run, "good boolean, fit boolean, " + ", ".join(f"{name} double" for name in _VECTOR))
+
+
+_VECTOR = [f"x{n}" for n in range(FEATURES)]
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in _VECTOR], axis=1)
+
+
+def _leaves(rows: DataFrame, trees: Splits) -> np.ndarray:
+    """``trees.leaves`` of all rows: tasks count, and only leaves with rows move."""
+    model = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((model.value.leaves(_vectors(batch)) for batch in batches), start=np.zeros(1, dtype=np.int64)).ravel()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["leaf", "n"])
+
+    found = rows.mapInArrow(run, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).toPandas()
+    leaves = np.zeros((TREES, 1 << DEPTH), dtype=np.int64)
+    leaves.ravel()[found["leaf"].to_numpy()] = found["n"].to_numpy()
+    return leaves
+
+
+def _paths(rows: DataFrame, forest: Forest) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(forest.mean_path(_vectors(batch)))], names=["good", "path"])
+
+    return rows.mapInArrow(run, "good boolean, path double")
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Forest:
+    """A forest from all labelled documents that pass the base rules.
+
+    It is grown on the good rows of one half; its threshold leaves those of the other
+    alone, but for ``FALSE_REJECTS`` of them. With fewer than 16 good rows or no bad one
+    to calibrate on, nothing is rejected.
+    """
+    folder = frames.scratch(docs.sparkSession)
+    rows = frames.stored(labelled(docs, labels), folder, "labelled", few=True)
+    fit, good = F.col("fit"), F.col("good")
+    kinds = {"grown": fit & good, "safe": ~fit & good, "bad": ~fit & ~good}
+    box = [end(F.when(fit, F.col(name))).alias(f"{end.__name__}_{name}") for end in (F.min, F.max) for name in _VECTOR]
+    found = rows.agg(*(F.count_if(kind).alias(name) for name, kind in kinds.items()), *box).first()
+    if found["grown"] < 2 or found["safe"] < 16 or not found["bad"]:
+        forest = keeps_all()
+    else:
+        trees = drawn(*(np.array([found[f"{end}_{name}"] for name in _VECTOR]) for end in ("min", "max")))
+        forest = pruned(trees, _leaves(rows.where(fit & good), trees))
+        paths = frames.stored(_paths(rows.where(~fit), forest), folder, "paths", few=True)
+        limit = paths.where(good).orderBy("path").offset(int(FALSE_REJECTS * found["safe"])).first()["path"]
+        below = paths.where(~good & (F.col("path") < limit)).agg(F.max("path")).first()[0]
+        # Halfway between the good rows that must stay and the bad rows beyond them.
+        forest.threshold = -1.0 if below is None else (limit + below) / 2
+    frames.remove(docs.sparkSession, folder)
+    return forest
 
 
 def judged(docs: DataFrame, forest: Forest, keep: list[str] | None = None) -> DataFrame:
