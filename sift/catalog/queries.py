@@ -125,7 +125,8 @@ def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = dedup.dedup_first(_scored_offers(spark, sf_dir))
+    scored = scoring.score(views.offer_ends(spark, sf_dir), OFFER_RULES)
+    first = dedup.dedup_first(scored.select("fingerprint", "ingest_seq", *OFFER_KEYS, "title", "score", "reasons"))
     return first.select("fingerprint", *OFFER_KEYS, "title", "score", _joined("reasons"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sift.functions.text import fingerprint
+from sift.operators.dedup import ends
 from sift.operators.mapping import remote_flag
 from sift.params import Board, RuleSet, Thresholds
 
@@ -75,12 +76,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order line as a sighting of the posting of its part."""
-    lines = table(spark, sf_dir, "lineitem").select(
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
         "l_returnflag", "l_linestatus",
     )
+
+
+def offer_ends(spark: SparkSession, sf_dir: str, last: bool = False) -> DataFrame:
+    """``offers``, but only by the first line of each part, and if wanted by its last.
+
+    All that makes the fingerprint of an offer is its part's, so these hold the first
+    (and last) offer of every fingerprint. Lines are combined by part while they are
+    narrow, before they are joined and scored.
+    """
+    order = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    return offers(spark, sf_dir, ends(order_lines(spark, sf_dir), "l_partkey", order, last))
+
+
+def offers(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Each order line, or each of ``lines``, as a sighting of the posting of its part."""
+    lines = order_lines(spark, sf_dir) if lines is None else lines
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     title = reduce(

@@ -25,6 +25,20 @@ def dedup_first(rows: DataFrame, order: str = "ingest_seq") -> DataFrame:
     return first.select(KEY, "_first.*").select(*rows.columns)
 
 
+def ends(rows: DataFrame, by: str, order: Sequence[str], last: bool = False) -> DataFrame:
+    """The first row of every value of ``by`` in the order of some columns, and if wanted the last.
+
+    For narrow rows, before they are joined and scored: where equal ``by`` means equal
+    fingerprints, no other row can be the first or last of its fingerprint. A value's only
+    row comes twice if the last is wanted. Of rows that agree in ``order`` the rest decides.
+    """
+    whole = F.struct(*order, *(c for c in rows.columns if c not in (by, *order)))
+    found = rows.groupBy(by).agg(F.min(whole).alias("_end"), *([F.max(whole).alias("_last")] if last else []))
+    if last:
+        found = found.select(by, F.explode(F.array("_end", "_last")).alias("_end"))
+    return found.select(by, "_end.*").select(*rows.columns)
+
+
 def batch_summary(
     scored: DataFrame,
     keep: Sequence[str],

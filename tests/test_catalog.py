@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
-from sift.catalog import oracles, queries
+from sift.catalog import oracles, queries, views
+from sift.operators import dedup, scoring
 from tools.compare import compare, connect
 
 # Other parts of the library test their own queries.
@@ -39,3 +41,28 @@ def test_no_query_leaves_the_jvm(spark, sf_small, name):
     plan = spark_entry.queries()[name](spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     for node in ("EvalPython", "MapInPandas", "FlatMapGroups", "CartesianProduct", "NestedLoopJoin"):
         assert node not in plan
+
+
+def test_only_first_and_last_lines_of_a_part_are_scored(spark, sf_small, tmp_path):
+    """Ties, nulls, repeated parts and parts of one line: as from all lines, but from two rows a part at most."""
+    lines = spark.read.parquet(f"{sf_small}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus")
+    odd = [(None, 1, 1, 1, 1.0, "R", "F"), (5, None, 1, 1, 1.0, None, "O"), (-5, 3, 2, None, None, "A", None), (-5, 3, 2, 7, None, "N", "O"),
+           (7, 1, None, 1, 1.0, "R", "F"), (7, 1, 999_999, 1, 1.0, "R", "F"), (7, 1, 500_000, 1, 1.0, "N", "O")]
+    lines.unionByName(spark.createDataFrame(odd, lines.schema)).repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = spark.read.parquet(f"{sf_small}/part.parquet")
+    more = parts.where("p_partkey = 1").unionByName(parts.where("p_partkey = 2").withColumn("p_partkey", F.lit(500_000).cast("bigint")))
+    parts.unionByName(more).write.parquet(f"{tmp_path}/part.parquet")
+    every = dedup.batch_summary(queries._scored_offers(spark, str(tmp_path)), queries.ALERT_FIELDS).drop("n_rows")
+    few = scoring.score(views.offer_ends(spark, str(tmp_path), last=True), views.OFFER_RULES)
+    found = dedup.batch_summary(few, queries.ALERT_FIELDS).drop("n_rows")
+    assert sorted(map(str, found.collect())) == sorted(map(str, every.collect()))
+    assert views.offer_ends(spark, str(tmp_path)).count() == parts.join(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").count() + 2
+
+
+def test_lines_are_combined_before_they_are_joined(spark, sf_small):
+    """The aggregation by part stands below the join in every query on first offers."""
+    names = ("dedup_first",)
+    for name in names:
+        plan = queries.queries()[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index("Join Inner") :]
+        assert "Aggregate [l_partkey" in below, name
