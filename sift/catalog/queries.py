@@ -191,7 +191,8 @@ def seen_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def seen_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = ("source", "company", "title", "url")
-    summary = dedup.batch_summary(_scored_offers(spark, sf_dir), keep)
+    ends = views.offer_ends(spark, sf_dir, last=True)
+    summary = dedup.batch_summary(scoring.score(ends, OFFER_RULES), keep).drop("n_rows")
     return report.seen_top(summary.withColumnRenamed("last_score", "score"))
 
 
@@ -199,7 +200,8 @@ def seen_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _new_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = dedup.batch_summary(_scored_offers(spark, sf_dir), ALERT_FIELDS)
+    scored = scoring.score(views.offer_ends(spark, sf_dir), OFFER_RULES)
+    summary = dedup.batch_summary(scored, ALERT_FIELDS).drop("last_score", "n_rows")
     return summary.withColumnRenamed("first_score", "score")
 
 

@@ -56,12 +56,15 @@ def test_only_first_and_last_lines_of_a_part_are_scored(spark, sf_small, tmp_pat
     few = scoring.score(views.offer_ends(spark, str(tmp_path), last=True), views.OFFER_RULES)
     found = dedup.batch_summary(few, queries.ALERT_FIELDS).drop("n_rows")
     assert sorted(map(str, found.collect())) == sorted(map(str, every.collect()))
+    new = queries._new_offers(spark, str(tmp_path))
+    expected = every.withColumnRenamed("first_score", "score").select(*new.columns)
+    assert sorted(map(str, new.collect())) == sorted(map(str, expected.collect()))
     assert views.offer_ends(spark, str(tmp_path)).count() == parts.join(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").count() + 2
 
 
 def test_lines_are_combined_before_they_are_joined(spark, sf_small):
     """The aggregation by part stands below the join in every query on first offers."""
-    names = ("dedup_first",)
+    names = ("dedup_first", "digest_cap", "notified_set", "route_instant", "route_digest", "run_once", "alerts", "format_alert", "seen_top20")
     for name in names:
         plan = queries.queries()[name](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
         below = plan[plan.index("Join Inner") :]
