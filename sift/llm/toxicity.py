@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from sift.llm import frames
 from sift.llm.byte_bpe import ragged
 from sift.llm.language import held_out, sampled
-from sift.llm.words import LOWER, NOT_ALNUM, Texts, chunks, mix, span_hash, split_words, texts_of
+from sift.llm.words import LOWER, NOT_ALNUM, Texts, Words, chunks, mix, span_hash, split_words, texts_of
 
 WINDOW = 32
 STRIDE = 16
@@ -39,6 +39,8 @@ EPOCHS = 6
 BATCH = 256
 SCORE_BATCH = 1024
 WORD_BATCH = 1 << 13
+#: Distinct words whose vectors a task remembers at most, 112 bytes each.
+REMEMBERED = 1 << 19
 
 _U = np.uint64
 
@@ -55,6 +57,15 @@ class Inputs:
     gram_at: np.ndarray
 
 
+@dataclass
+class Met:
+    """Words of texts as numbers of distinct words, and what each of these adds to the gates."""
+
+    which: np.ndarray
+    first: np.ndarray
+    gates: dict[str, np.ndarray]
+
+
 def word_inputs(texts: Texts) -> Inputs:
     """Inputs of any number of texts; the memory besides the result is that of one chunk."""
     parts = [_inputs_of_chunk(part) for _, _, part in chunks(texts)] or [_inputs_of_chunk(texts)]
@@ -73,8 +84,17 @@ def word_inputs(texts: Texts) -> Inputs:
 def _inputs_of_chunk(texts: Texts) -> Inputs:
     words = split_words(texts, NOT_ALNUM, fold=True)
     key, sample, which = np.unique(words.hash, return_index=True, return_inverse=True)
-    start, end = words.start[sample], words.end[sample]
-    data = LOWER[texts.data]
+    word, gram, gram_at = _grams(texts, words, key, sample)
+    return Inputs(which, words.first, key, word, gram, gram_at)
+
+
+def _grams(texts: Texts, words: Words, key: np.ndarray, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word buckets and n-gram buckets of distinct words, of which ``sample`` are occurrences."""
+    # Only the bytes of these words, end to end: hashes do not depend on the place.
+    size = words.end[sample] - words.start[sample]
+    end = np.cumsum(size)
+    start = end - size
+    data = LOWER[texts.data[np.repeat(words.start[sample] - start, size) + np.arange(size.sum())]]
     # One place before the word's first byte to one behind its last: marks are spans cut short.
     counts = [np.maximum(end - start + 2 - n + 1, 0) for n in BYTE_GRAMS]
     gram_at = np.concatenate([[0], np.cumsum(sum(counts))])
@@ -88,10 +108,10 @@ def _inputs_of_chunk(texts: Texts) -> Inputs:
         h = span_hash(data, np.maximum(lo, start[owner]), np.minimum(hi, end[owner])) + mark.astype(np.uint64) * _U(0xD1B54A32D192ED03)
         gram[filled[owner] + offset] = (mix(h + _U(n)) >> _U(64 - CHAR_BUCKETS_LOG2)).astype(np.int32)
         filled += count
-    return Inputs(which, words.first, key, (key >> _U(64 - WORD_BUCKETS_LOG2)).astype(np.int32), gram, gram_at)
+    return (key >> _U(64 - WORD_BUCKETS_LOG2)).astype(np.int32), gram, gram_at
 
 
-def windows_of(inputs: Inputs) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(inputs: Inputs | Met) -> tuple[np.ndarray, np.ndarray]:
     """All windows as rows of distinct-word numbers (-1: nothing), and each window's text.
 
     Windows begin every ``STRIDE`` words; the last one ends with the text. A text has a
@@ -240,21 +260,99 @@ class Network:
         loss = -np.mean(np.log(np.where(label > 0, prob, 1 - prob) + 1e-9))
         return g, float(loss)
 
-    def window_logits(self, inputs: Inputs, rows: np.ndarray) -> np.ndarray:
+    def word_vectors(self, inputs: Inputs) -> np.ndarray:
         words = np.arange(len(inputs.word))
         vectors = [self.vectors(inputs, words[lo : lo + WORD_BATCH])[0] for lo in range(0, len(words), WORD_BATCH)]
-        gates = self.projected(np.concatenate(vectors or [np.zeros((1, WORD_SIZE + CHAR_SIZE), dtype=np.float32)]))
+        return np.concatenate([np.zeros((0, WORD_SIZE + CHAR_SIZE), dtype=np.float32), *vectors])
+
+    def word_gates(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
+        """What distinct words add to the gates of either direction; a row at least."""
+        return self.projected(vectors if len(vectors) else np.zeros((1, WORD_SIZE + CHAR_SIZE), dtype=np.float32))
+
+    def _states(self, x: np.ndarray, there: np.ndarray, d: str) -> np.ndarray:
+        """The states of ``_read``, without what a gradient needs."""
+        update, candidate = (np.ascontiguousarray(w) for w in np.split(self.p[f"state_{d}"], [2 * HIDDEN], axis=1))
+        h = np.zeros((x.shape[1], HIDDEN), dtype=np.float32)
+        states, full = np.empty((WINDOW, x.shape[1], HIDDEN), dtype=np.float32), there.all(axis=1)
+        for t in range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1):
+            zr = h @ update
+            zr += x[t, :, : 2 * HIDDEN]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            n = h @ candidate
+            n *= zr[:, HIDDEN:]
+            n += x[t, :, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            new = np.subtract(h, n, out=states[t])
+            new *= zr[:, :HIDDEN]
+            new += n
+            if not full[t]:
+                new[~there[t]] = h[~there[t]]
+            h = new
+        return states
+
+    def logits(self, gates: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """The logits of ``forward``, without what a gradient needs.
+
+        Products with one column are sums of rows, so that rounding does not depend on how
+        many windows there are.
+        """
+        there, at = (rows >= 0).T, np.maximum(rows.T, 0)
+        h = np.concatenate([self._states(gates[d][at], there, d) for d in ("f", "b")], axis=2)
+        k = (h.reshape(-1, 2 * HIDDEN) @ self.p["key"]).reshape(*at.shape, ATTENTION)
+        k += self.p["key_bias"]
+        np.tanh(k, out=k)
+        e = np.where(there, (k * self.p["query"]).sum(axis=2), np.float32(-1e9))
+        a = np.exp(e - e.max(axis=0)) * there
+        a /= np.maximum(a.sum(axis=0), 1e-9)
+        return (np.einsum("tb,tbh->bh", a, h) * self.p["out"]).sum(axis=1) + self.p["out_bias"][0]
+
+    def window_logits(self, gates: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
         out = [self.forward(gates, rows[lo : lo + SCORE_BATCH])[0] for lo in range(0, len(rows), SCORE_BATCH)]
         return np.concatenate([np.zeros(0, dtype=np.float32), *out])
 
+
+class Scorer:
+    """A network that remembers the vectors of words of earlier texts."""
+
+    def __init__(self, net: Network) -> None:
+        self.net = net
+        self.vectors = np.empty((REMEMBERED, WORD_SIZE + CHAR_SIZE), dtype=np.float32)
+        #: Words in order of their hash, and the rows of their vectors.
+        self.key, self.row = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+    def met(self, texts: Texts) -> Met:
+        words = split_words(texts, NOT_ALNUM, fold=True)
+        key, sample, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.key, key)
+        old = at < len(self.key)
+        old[old] = self.key[at[old]] == key[old]
+        new = ~old
+        added = Inputs(which, words.first, key[new], *_grams(texts, words, key[new], sample[new]))
+        vectors = np.empty((len(key), WORD_SIZE + CHAR_SIZE), dtype=np.float32)
+        vectors[old], vectors[new] = self.vectors[self.row[at[old]]], self.net.word_vectors(added)
+        if len(self.key) + len(added.key) > REMEMBERED:
+            # Full: the memory begins again with the words at hand.
+            self.key, self.row, new = self.key[:0], self.row[:0], np.arange(min(len(key), REMEMBERED))
+            at = np.zeros(len(key), dtype=np.int64)
+        row = len(self.key) + np.arange(len(key[new]))
+        self.vectors[row] = vectors[new]
+        self.key, self.row = np.insert(self.key, at[new], key[new]), np.insert(self.row, at[new], row)
+        return Met(which, words.first, self.net.word_gates(vectors))
+
     def scores(self, texts: Texts) -> np.ndarray:
         """The probability of each text's highest window; 0 for a text without words."""
-        inputs = word_inputs(texts)
-        rows, doc = windows_of(inputs)
-        logit = self.window_logits(inputs, rows)
+        met = self.met(texts)
+        rows, doc = windows_of(met)
+        # Windows that lack words last, so that most batches have none.
+        order = np.argsort(~(rows >= 0).all(axis=1), kind="stable")
+        rows, doc = rows[order], doc[order]
         best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, doc, logit)
-        return np.where(np.diff(inputs.first) > 0, _sigmoid(best), 0.0)
+        for lo in range(0, len(rows), SCORE_BATCH):
+            np.maximum.at(best, doc[lo : lo + SCORE_BATCH], self.net.logits(met.gates, rows[lo : lo + SCORE_BATCH]))
+        return np.where(np.diff(met.first) > 0, _sigmoid(best), 0.0)
 
 
 def train(texts: Texts, toxic: np.ndarray, seed: int = 11) -> Network:
@@ -276,7 +374,7 @@ def train(texts: Texts, toxic: np.ndarray, seed: int = 11) -> Network:
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     for epoch in range(EPOCHS):
-        score = net.window_logits(inputs, rows) if epoch >= 2 else None
+        score = net.window_logits(net.word_gates(net.word_vectors(inputs)), rows) if epoch >= 2 else None
         picked = []
         for i in np.flatnonzero(~spare):
             own = by_doc[i]
@@ -297,7 +395,7 @@ def train(texts: Texts, toxic: np.ndarray, seed: int = 11) -> Network:
                 net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
     # The bias moves to where most spare texts of either label are on the right side of one half.
     best = np.full(len(toxic), -np.inf)
-    np.maximum.at(best, doc, net.window_logits(inputs, rows))
+    np.maximum.at(best, doc, net.window_logits(net.word_gates(net.word_vectors(inputs)), rows))
     use = spare if toxic[spare].any() and not toxic[spare].all() else np.ones(len(toxic), dtype=bool)
     logit, label = best[use], toxic[use]
     order = np.argsort(logit)
@@ -340,9 +438,13 @@ def scored(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Data
     """
     model = docs.sparkSession.sparkContext.broadcast(net.p)
 
+    held: list[Scorer] = []
+
     def fn(texts: Texts) -> list[pa.Array]:
-        own = Network.__new__(Network)
-        own.p = model.value
-        return [pa.array(own.scores(texts))]
+        if not held:
+            own = Network.__new__(Network)
+            own.p = model.value
+            held.append(Scorer(own))
+        return [pa.array(held[0].scores(texts))]
 
     return frames.annotated(docs, keep or docs.columns, "text", fn, "score double")

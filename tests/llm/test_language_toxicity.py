@@ -164,3 +164,28 @@ def test_texts_are_learned_whole_or_not_at_all(spark, monkeypatch):
     toxicity.learned(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
     ((sizes, toxic),) = seen
     assert set(sizes.tolist()) == {1000} and 0 < toxic.sum() <= 20 and 0 < (~toxic).sum() <= 20
+
+
+def test_remembered_words_change_no_score(monkeypatch):
+    """Against the network that learns, over chunks that meet words again; also with a memory that fills up."""
+    rng = random.Random(12)
+    long = [" ".join(rng.choices(["vile", "über", "ab", "x1", "ß" * 40, "w" * 300, *(f"v{n}" for n in range(90))], k=rng.randrange(0, 150))) for _ in range(120)]
+    texts = [*(t or "" for t in ODD), *long]
+    net = toxicity.Network(3)
+    found = {}
+    for size, room in ((len(texts), 1 << 12), (7, 1 << 12), (7, 40)):
+        monkeypatch.setattr(toxicity, "REMEMBERED", room)
+        scorer, counted = toxicity.Scorer(net), []
+        monkeypatch.setattr(net, "word_vectors", lambda inputs: counted.append(len(inputs.key)) or toxicity.Network.word_vectors(net, inputs))
+        found[size, room] = np.concatenate([scorer.scores(texts_of(pa.array(texts[lo : lo + size]))) for lo in range(0, len(texts), size)])
+        assert len(scorer.key) <= room and (np.diff(scorer.key.astype(object)) > 0).all()
+        if room > 40:
+            # No word is worked out twice.
+            assert sum(counted) == len(scorer.key)
+    inputs = toxicity.word_inputs(texts_of(pa.array(texts)))
+    rows, doc = toxicity.windows_of(inputs)
+    best = np.full(len(texts), -np.inf)
+    np.maximum.at(best, doc, net.window_logits(net.word_gates(net.word_vectors(inputs)), rows))
+    expected = np.where(np.diff(inputs.first) > 0, toxicity._sigmoid(best), 0.0)
+    for scores in found.values():
+        assert np.abs(scores - expected).max() < 1e-6
